@@ -1,5 +1,5 @@
 """Parsing of time texts in SQL expressions."""
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Offsets in minutes of the abbreviations used in the zones of the environments table.
@@ -8,57 +8,52 @@ ABBREVIATIONS = {"UTC": 0, "GMT": 0, "Z": 0, "BST": 60, "CET": 60, "CEST": 120,
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?"
 ZONE = r"\s*(Z|UTC|GMT|[A-Z]{3,4}|[+-]\d{2}(?::?\d{2})?|[A-Za-z_]+/[A-Za-z_/]+)?(?:\[[A-Za-z_/]+\])?"
-#: kind of writing: pattern and the groups of year, month, day, the first of the time groups, AM/PM, zone
+T = TIME + ZONE
+#: pattern and what it becomes: year, month, day, hour, minute, second, fraction, AM/PM, zone, kind
 FORMS = [
-    ("ymd", rf"(?i)^(\d{{4}})([-/])(\d{{2}})\2(\d{{2}})(?:[T ]{TIME}{ZONE})?$", (1, 3, 4, 5, 0, 9)),
-    ("basic", r"(?i)^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})?(?:[.,](\d+))?\s*(Z|[+-]\d{2}(?::?\d{2})?)?$", (1, 2, 3, 4, 0, 8)),
-    ("dots", rf"(?i)^(\d{{1,2}})\.(\d{{1,2}})\.(\d{{4}})(?:[T ]{TIME}{ZONE})?$", (3, 2, 1, 4, 0, 8)),
-    ("dmy", rf"(?i)^(?:[a-z]{{3}}, )?(\d{{1,2}})[- ]([a-z]{{3}})[- ](\d{{4}})(?: {TIME}{ZONE})?$", (3, 2, 1, 4, 0, 8)),
-    ("mdy", rf"(?i)^([a-z]{{3}}) (\d{{1,2}}), (\d{{4}})(?: {TIME}\s*(AM|PM)?{ZONE})?$", (3, 1, 2, 4, 8, 9)),
+    (rf"(?i)^(\d{{4}})([-/])(\d{{2}})\2(\d{{2}})(?:[T ]{T})?$", "$1,$3,$4,$5,$6,$7,$8,,$9,c"),
+    (r"(?i)^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})?(?:[.,](\d+))?\s*(Z|[+-]\d{2}(?::?\d{2})?)?$", "$1,$2,$3,$4,$5,$6,$7,,$8,c"),
+    (rf"(?i)^(\d{{1,2}})\.(\d{{1,2}})\.(\d{{4}})(?:[T ]{T})?$", "$3,$2,$1,$4,$5,$6,$7,,$8,c"),
+    (rf"(?i)^(?:[a-z]{{3}}, )?(\d{{1,2}})[- ]([a-z]{{3}})[- ](\d{{4}})(?: {T})?$", "$3,$2,$1,$4,$5,$6,$7,,$8,c"),
+    (rf"(?i)^([a-z]{{3}}) (\d{{1,2}}), (\d{{4}})(?: {TIME}\s*(AM|PM)?{ZONE})?$", "$3,$1,$2,$4,$5,$6,$7,$8,$9,c"),
+    (rf"(?i)^(\d{{4}})-(\d{{3}})(?:[T ]{T})?$", "$1,,$2,$3,$4,$5,$6,,$7,o"),
+    (rf"(?i)^(\d{{4}})-W(\d{{2}})-(\d)(?:[T ]{T})?$", "$1,$2,$3,$4,$5,$6,$7,,$8,w"),
 ]
-ORDINAL = rf"(?i)^(\d{{4}})-(\d{{3}})(?:[T ]{TIME}{ZONE})?$"
-WEEK = rf"(?i)^(\d{{4}})-W(\d{{2}})-(\d)(?:[T ]{TIME}{ZONE})?$"
 
 
-def instant_us(raw: Column, zone: Column) -> Column:
-    """Microseconds since the epoch of a stripped text, or null. zone: name for local times.
+def parsed(d: DataFrame) -> DataFrame:
+    """d with instant_us, microseconds since the epoch of its stripped text raw, or null. zone: name for local times.
 
     Digits only: seconds up to 11 digits, milliseconds up to 14, else microseconds. Local times go through the zone's
     rules: a repeated one is the first, a skipped one moves forward by the skip.
     """
-    g = lambda p, i: F.regexp_extract(raw, p, i)
-    num = lambda c: F.when(c == "", None).otherwise(c).try_cast("bigint")
-    local = lambda ts, z: F.unix_micros(F.to_utc_timestamp(ts, z))
-
-    def placed(day: Column, p: str, t: int, ampm: int, z: int) -> Column:
-        h, mi, s = (F.coalesce(num(g(p, t + k)), F.lit(0)) for k in range(3))
-        us = F.rpad(F.substring(g(p, t + 3), 1, 6), 6, "0").cast("bigint")
-        if ampm:
-            a = F.upper(g(p, ampm))
-            ok = (a == "") | h.between(1, 12)
-            h = F.when(a == "", h).when(ok, h % 12 + F.when(a == "PM", 12).otherwise(0))
-        zs, up = g(p, z), F.upper(g(p, z))
-        secs = F.when((h < 24) & (mi < 60) & (s < 60), F.unix_date(day) * F.lit(86400).cast("bigint") + h * 3600 + mi * 60 + s)
-        off = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])[up]
-        om = F.regexp_extract(zs, r"^[+-](\d{2}):?(\d{2})?$", 1).try_cast("int") * 60 + F.coalesce(F.regexp_extract(zs, r"^[+-](\d{2}):?(\d{2})?$", 2).try_cast("int"), F.lit(0))
-        om = F.when(om <= 18 * 60, F.when(zs.startswith("-"), -om).otherwise(om))
-        wall = F.timestamp_micros(secs * 1000000)
-        at = (F.when(zs == "", local(wall, zone)).when(zs.contains("/"), local(wall, zs))
-              .otherwise(secs * 1000000 - F.coalesce(om, off) * 60000000))
-        return at + us
-
-    month = lambda c: F.coalesce(num(c), F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS) for x in (m, i + 1)])[F.lower(c)].cast("bigint"))
-    out = F.when(raw.rlike(r"^\d+(\.\d+)?$"),
-                 F.when(raw.contains("."), g(r"^(\d{1,11})\.", 1).try_cast("bigint") * 1000000 + F.rpad(F.substring(g(r"\.(\d+)$", 1), 1, 6), 6, "0").try_cast("bigint"))
-                 .when(F.length(raw) <= 11, raw.try_cast("bigint") * 1000000).when(F.length(raw) <= 14, raw.try_cast("bigint") * 1000)
-                 .when(F.length(raw) <= 17, raw.try_cast("bigint")))
-    for _, p, (y, m, d, t, ap, z) in FORMS:
-        text = F.concat(g(p, y), F.lit("-"), F.lpad(month(g(p, m)).cast("string"), 2, "0"), F.lit("-"), F.lpad(g(p, d), 2, "0"))
-        out = out.when(raw.rlike(p), placed(F.when(g(p, y) > "0000", text.try_cast("date")), p, t, ap, z))
-    yday = F.date_add(F.concat(g(ORDINAL, 1), F.lit("-01-01")).try_cast("date"), (num(g(ORDINAL, 2)) - 1).cast("int"))
-    out = out.when(raw.rlike(ORDINAL), placed(F.when((F.year(yday) == num(g(ORDINAL, 1))) & (num(g(ORDINAL, 2)) > 0), yday), ORDINAL, 4, 0, 8))
-    jan4 = F.concat(g(WEEK, 1), F.lit("-01-04")).try_cast("date")
-    wday = F.date_add(F.trunc(jan4, "week"), (num(g(WEEK, 2)) * 7 + num(g(WEEK, 3)) - 8).cast("int"))
-    thursday = F.date_add(F.trunc(wday, "week"), 3)
-    ok = num(g(WEEK, 2)).between(1, 53) & num(g(WEEK, 3)).between(1, 7) & (F.year(thursday) == num(g(WEEK, 1)))
-    return out.when(raw.rlike(WEEK), placed(F.when(ok, wday), WEEK, 4, 0, 8))
+    raw = F.col("raw")
+    canon = F.when(raw.rlike(FORMS[0][0]), F.regexp_replace(raw, *map(F.lit, FORMS[0])))
+    for p, to in FORMS[1:]:
+        canon = canon.when(raw.rlike(p), F.regexp_replace(raw, F.lit(p), F.lit(to)))
+    big = lambda c: c.try_cast("bigint")
+    plain = F.when(raw.rlike(r"^\d{1,11}\.\d+$"), big(F.regexp_extract(raw, r"^(\d+)\.", 1)) * 1000000
+                   + big(F.rpad(F.substring(F.regexp_extract(raw, r"\.(\d+)$", 1), 1, 6), 6, "0")))
+    plain = plain.when(raw.rlike(r"^\d{1,11}$"), big(raw) * 1000000).when(raw.rlike(r"^\d{12,14}$"), big(raw) * 1000).when(raw.rlike(r"^\d{15,17}$"), big(raw))
+    f = lambda i: F.col("_f")[i]
+    n = lambda i: F.coalesce(big(f(i)), F.lit(0).cast("bigint"))
+    names = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS) for x in (m, i + 1)])
+    month = F.coalesce(big(f(1)), names[F.lower(f(1))].cast("bigint"))
+    iso = F.concat_ws("-", f(0), F.lpad(month.cast("string"), 2, "0"), F.lpad(f(2), 2, "0")).try_cast("date")
+    new_year = F.concat(f(0), F.lit("-01-01")).try_cast("date")
+    o = F.date_add(new_year, (n(2) - 1).cast("int"))
+    monday = F.date_add(F.trunc(F.concat(f(0), F.lit("-01-04")).try_cast("date"), "week"), (n(1) * 7 - 7).cast("int"))
+    day = (F.when(f(0) == "0000", None).when(f(9) == "c", iso).when((f(9) == "o") & (n(2) > 0) & (F.year(o) == n(0)), o)
+           .when((f(9) == "w") & n(1).between(1, 53) & n(2).between(1, 7) & (F.year(F.date_add(monday, 3)) == n(0)), F.date_add(monday, (n(2) - 1).cast("int"))))
+    ap = F.upper(f(7))
+    hour = F.when(ap == "", n(3)).when(n(3).between(1, 12), n(3) % 12 + F.when(ap == "PM", 12).otherwise(0))
+    secs = F.when((hour < 24) & (n(4) < 60) & (n(5) < 60), F.unix_date("_day").cast("bigint") * 86400 + hour * 3600 + n(4) * 60 + n(5))
+    at = r"^[+-](\d{2}):?(\d{2})?$"
+    num = big(F.regexp_extract(f(8), at, 1)) * 60 + F.coalesce(big(F.regexp_extract(f(8), at, 2)), F.lit(0))
+    off = F.when(num <= 1080, F.when(f(8).startswith("-"), -num).otherwise(num))
+    off = F.coalesce(off, F.create_map(*[F.lit(x) for k, v in ABBREVIATIONS.items() for x in (k, v)])[F.upper(f(8))].cast("bigint"))
+    wall = F.timestamp_micros(F.col("_secs") * 1000000)
+    us = F.when(f(8) == "", F.unix_micros(F.to_utc_timestamp(wall, F.col("zone")))).when(f(8).contains("/"), F.unix_micros(F.to_utc_timestamp(wall, f(8)))) \
+        .otherwise((F.col("_secs") - off * 60) * 1000000)
+    return (d.withColumn("_f", F.split(canon, ",")).withColumn("_day", day).withColumn("_secs", secs)
+            .withColumn("instant_us", F.coalesce(plain, us + F.rpad(F.substring(f(6), 1, 6), 6, "0").cast("bigint"))).drop("_f", "_day", "_secs"))

@@ -4,8 +4,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.instants import instant_us
+from ..functions.instants import parsed
 from ..functions.text import ident, strip
+from ..sources.tables import materialise
 
 EXACT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"
 
@@ -14,12 +15,12 @@ def dictionary(values: DataFrame, known: str | None = None) -> DataFrame:
     """raw, zone -> instant_us for each distinct pair. known: a Parquet folder kept between runs; only new pairs are parsed and appended."""
     d = values.select("raw", "zone").filter("raw is not null and raw <> ''").distinct()
     if known is None:
-        return d.withColumn("instant_us", instant_us(F.col("raw"), F.col("zone")))
+        return materialise(parsed(d))
     spark = values.sparkSession
     fs = spark._jvm.org.apache.hadoop.fs.Path(known)
     if fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs):
         d = d.join(spark.read.parquet(known), ["raw", "zone"], "left_anti")
-    d.withColumn("instant_us", instant_us(F.col("raw"), F.col("zone"))).write.mode("append").parquet(known)
+    parsed(d).write.mode("append").parquet(known)
     return spark.read.parquet(known)
 
 
