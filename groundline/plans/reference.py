@@ -2,6 +2,8 @@
 from pyspark.sql import functions as F
 
 from ..functions.text import accepted, code, ident
+from ..operators.traversal import lineage_edges as edges
+from ..operators.traversal import reach
 from ..sources.tables import table
 
 
@@ -22,7 +24,15 @@ def review_queue(spark, d):
     return table(spark, d, "claims").filter(~accepted() & (code("review_status") != "REJECTED")).select(ident("claim_id").alias("claim_id")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (accepted_claims, claims_by_predicate, dup_ids, review_queue)}
+def lineage_edges(spark, d):
+    return edges(table(spark, d, "claims"))
+
+
+def downstream_h4(spark, d):
+    return reach(edges(table(spark, d, "claims")), "urn:tarn:shared:repository:mono-flows", 4)
+
+
+QUERIES = {f.__name__: f for f in (accepted_claims, claims_by_predicate, dup_ids, review_queue, lineage_edges, downstream_h4)}
 _s = lambda c: rf"regexp_replace({c}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
 _ok = f"upper({_s('review_status')}) in ('AUTO_VERIFIED', 'HUMAN_APPROVED') and upper({_s('assertion_kind')}) <> 'INFERRED'"
 ORACLE = {
