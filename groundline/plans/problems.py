@@ -67,3 +67,20 @@ ORACLE = {
                        "select node_id, coalesce(o.n, 0) n_subject, coalesce(i.n, 0) n_object, coalesce(o.n, 0) * coalesce(i.n, 0) n_two_hop "
                        "from o full join i using (node_id) where node_id <> ''",
 }
+
+
+def _first(t, key, refs):
+    return f"select {S.format(key)} id, min(loaded_at) tm, {', '.join(f'min({c}) {c}' for c in refs)} from {t} group by 1"
+
+
+_claims = _first("claims", "claim_id", ["subject", "object", "evidence_ids"])
+_gaps = _first("unresolved", "unresolved_id", ["source_node_id"])
+_strip_ref = S.format("ref")
+ORACLE["p6_found"] = f"""with c as ({_claims}), u as ({_gaps}), r0 as (
+select 'claims' table_name, 'subject' field_name, id record_id, 'n' p, subject ref, tm from c union all select 'claims', 'object', id, 'n', object, tm from c
+union all select 'claims', 'evidence_ids', id, 'e', unnest(evidence_ids), tm from c union all select 'unresolved', 'source_node_id', id, 'n', source_node_id, tm from u),
+r as (select distinct table_name, field_name, record_id, p, {_strip_ref} ref_id, tm from r0 where {_strip_ref} <> ''),
+k as (select 'n' p, {S.format('node_id')} ref_id, loaded_at l, deleted_at d from nodes union all select 'e', {S.format('evidence_id')}, loaded_at, deleted_at from evidence),
+j as (select table_name, field_name, record_id, r.ref_id, tm, count(k.l) n, count(*) filter (l <= tm) early, count(*) filter (l <= tm and (d is null or d > tm)) live
+from r left join k on k.p = r.p and k.ref_id = r.ref_id group by 1, 2, 3, 4, 5)
+select table_name, field_name, record_id, ref_id, case when n = 0 then 'missing' when early > 0 then 'deleted' else 'late' end ref_state, strftime(tm, '%Y-%m') load_month from j where live = 0"""
