@@ -5,6 +5,28 @@ from pyspark.sql import functions as F
 # Abbreviations that do not end a sentence before a capital, digit or file name.
 ABBREVIATIONS = ("Dr Dra Sr Sra Mr Mrs Ms Prof St No Nr cf fig Fig Figs cap chap ca vs al approx z B bzw p ex M UU EE Inc Abb Tab Bd vgl Vgl "
                  "рис Рис табл см См г т е др стр डॉ د").split()
+# Fixed values, by language: abbreviations that do not end a sentence before a number or label. Words that often close sentences stay out (etc,
+# usw, no, par, ver, tab); one in lower case after an article or the like is a word (DETERMINED: "drop the col. 5 rows stay").
+NUMBERED = {
+    "en": "Secs? Sects? sects? secs Chs? ch chs Eqs? Eqns? eqs? eqns? Exs? App Apps Vols? vols? pp pg pgs eds? Ed Refs? refs? Thm Thms Lem Prop Cor Def Alg Tbl tbl Art "
+          "arts Pt Pts [Pp]aras? Cols? cols? ll Figs figs Pl Pls Ver Rev rev [Ss]er Div Lect lect [Ee]xp [Ss]ess [Ss]uppl [Nn]os Bk Cl Reg Sch Ser dept Dept [Dd]iv [Ii]ss [Rr]el "
+          "appr est max Jan Feb Mar Apr Jun Jul Aug Sept? Oct Nov Dec",
+    "de": "Kap Abschn Abs Bde? Nrn Art Aufl Bl Gl Anm Anh Ziff Jg Rn Rz Tz Fn Lfg ggf mind inkl exkl rd Bsp Verf Verz Vers Beil Jän Mär Mrz Okt Dez",
+    "fr": "éqs? [Ss]ect ann tabl pl réfs? éd fasc env chaps? [Ll]iv janv févr avr juil sept oct nov déc",
+    "es": "caps págs? pags? ecs? núms? nums? nros? arts aprox apdo párr tít lám [Vv]ols? ene feb abr jun jul ago sep dic",
+    "ru": "стр гл разд пп ст изд прил ур ил вып кн ред прибл янв февр? апр авг сент? окт нояб? дек [Гг]л [Рр]азд [Сс]тр [Пп]рил п с т ч",
+    "ar": "ص ج ط م",
+    "hi": "पृ सं क्र अध्या",
+}
+DETERMINED = r"(?!(?<=\s(?:the|this|that|each|every|a|an|my|our|your|its|new)\s)\p{Ll})"
+GUARDED = [r"(?<!\d\s)sec", r"(?<!\d\s)[Mm]in", r"art", r"(?<!(?i:все|всё)\s)ок", r"(?<=(?:[Ss]iehe|[Vv]gl[.]|auf|ab|von|,)\s)S"]
+UNITS = (r"(?:hrs?|hours?|h|mins?|minutes?|secs?|seconds?|ms|days?|wks?|weeks?|mos?|months?|yrs?|years?|ft|feet|in|inch|inches|yds?|lbs?|oz|km|cm|mm|m|kg|g|s|d|"
+         "Std|Stdn|Stunden?|Min|Minuten?|Sek|Sekunden?|heures?|horas?|minutos?|seg|segundos?|ч|час(?:а|ов)?|мин|минут[аы]?|сек|секунд[аы]?)")
+# a short word without a vowel is an abbreviation, unless it is a unit, a tool or a file type
+VOWELLESS = r"(?!(?:hrs?|hm+|nth|std|z?sh|ssh|npm|ls|rm|cp|mv|cd|[jt]s|sql|html?|css|[ct]sv|txt|xml|png|jpg|svg|pdf|http|rgb|llm|[cr]nn|[ckm]m|kg|m[glms]|ft|lbs?|yrs?|px|pt|dpi|k?Hz|[KMGT]B)\.)(?:[B-DF-HJ-NP-TV-XZ]?[b-df-hj-np-tv-xzß]{2,4}|[Б-ДЖЗЙ-НП-ТФ-Щ]?[б-джзй-нп-тф-щ]{2,4})"
+# a word begins here; scripts written without spaces may stand before it
+WORD = r"(?<![._/\-\p{L}\p{M}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]])"
+NUMBER = r"(?=\s+(?:[#№§(\[]?\p{Nd}|[IVXLCDM]{2,}(?!\p{L})|[B-HJ-Z](?![\p{L}'’])))"
 MASK, INNER, CUT = "\ue000", "\ue001", "\ue002"
 CLOSE = "\"'”’“»)\\]）」』】*_   "
 MASKS = [
@@ -13,6 +35,9 @@ MASKS = [
     (r"(?<=https?://\S{0,200})[.!?](?=\S)", MASK),                                      # addresses
     (r"[.?!](?=[\p{L}\p{N}_/=&])(?!(?<=\p{L}\p{L}[.?!])\p{Lu}\p{Ll})(?!(?<=\p{L}\p{L}[.?!])\p{Lu} )", MASK),  # file names, dotted names
     (r"(?<=(?<![\p{L}\p{N}])(?:" + "|".join(ABBREVIATIONS) + r"))\.(?=\s)", MASK),
+    (WORD + DETERMINED + "(" + "|".join([w for v in NUMBERED.values() for w in v.split()] + GUARDED) + r")\." + NUMBER, "$1" + MASK),
+    (WORD + "(" + VOWELLESS + r")\.(?=\s+[(\[]?\p{Nd})", "$1" + MASK),
+    (r"(?<![\p{L}\p{M}])((" + UNITS + r"))\.(?=\s+\d+(?:[.,]\d+)?\s*(?!\2(?!\p{L}))" + UNITS + r"(?!\p{L}))", "$1" + MASK),   # 4 hrs. 12 min.
     (r"(?<=(?<![\p{L}\p{N}])\p{Lu})\.(?=\s+\p{Lu})", MASK),                             # initials
     (r"(?<=(?:dem|der|den|am|im|zum|zur|des|vom) \d{1,3})\.(?=\s+\p{Lu})", MASK),       # German ordinals
     (r"[.!?…]+(?=\s+\p{Ll})(?!\s+[\w/]+[]\w)", MASK),                             # runs on in lower case

@@ -24,3 +24,21 @@ def test_sentences(spark):
     d = spark.createDataFrame([(1, text, [("text", 0, len(text))]), (2, None, None)], "doc_id bigint, text string, cells array<struct<cell_kind string, start_pos int, end_pos int>>")
     got = [text[r.sent_start:r.sent_end] for r in sentences.sentences(d).orderBy("sent_start").collect()]
     assert got == ["Title", "Dr. Quorra waits.", "It is 6.4.", "See https://a.b/v2.1 now!"]
+
+
+def split(spark, text):
+    d = spark.createDataFrame([(1, text, [("text", 0, len(text))])], "doc_id bigint, text string, cells array<struct<cell_kind string, start_pos int, end_pos int>>")
+    return [text[r.sent_start:r.sent_end] for r in sentences.sentences(d).orderBy("sent_start").collect()]
+
+
+def test_abbreviations_before_numbers(spark):
+    true = ["See Fig. 1 and Sec. 5.7 for our baseline.", "The run took 4 hrs. 12 min. on the decoder.", "It is 6 ft. 2 in. tall.", "Read vol. 3, pp. 14 and Ch. IV of it.",
+            "The talk is on Sept. 12 in room 4.", "Ask dept. 7 about App. C first.", "The line sldr. 4 was cut.", "Siehe Kap. 3 und Abschn. 2 dort.", "Das dauert mind. 5 Tage.",
+            "Voir env. 12 pages, art. 5.", "Véase la pág. 8 y la sec. 2.", "Это есть в гл. 2 и разд. 5.", "انظر ص. 12 هنا."]
+    assert split(spark, " ".join(true)) == true
+
+
+def test_sentences_that_end_before_numbers(spark):
+    true = ["Plan A failed.", "1.7 was the best score so far.", "We dropped gaps, outliers, etc.", "4.3 came next.", "The run took 4 hrs.", "12 files were lost.", "It weighs 3 kg.", "2 parts are missing.",
+            "Drop the col.", "5 rows stay.", "Run prep/clean.sql.", "8 rows fail.", "We use HTTP.", "3 calls fail.", "Das Rad passt.", "5 Tage reichen.", "La tabla baja; el resto no.", "7 filas quedan."]
+    assert split(spark, " ".join(true)) == true
