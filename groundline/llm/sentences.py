@@ -27,32 +27,36 @@ VOWELLESS = r"(?!(?:hrs?|hm+|nth|std|z?sh|ssh|npm|ls|rm|cp|mv|cd|[jt]s|sql|html?
 # a word begins here; scripts written without spaces may stand before it
 WORD = r"(?<![._/\-\p{L}\p{M}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]])"
 NUMBER = r"(?=\s+(?:[#№§(\[]?\p{Nd}|[IVXLCDM]{2,}(?!\p{L})|[B-HJ-Z](?![\p{L}'’])))"
-MASK, INNER, CUT = "\ue000", "\ue001", "\ue002"
+MASK, INNER, CUT, DEEP = "\ue000", "\ue001", "\ue002", "\ue003"
+TERMINATORS = ".!?。！？।؟…"
 CLOSE = "\"'”’“»)\\]）」』】*_   "
 MASKS = [
-    (r"[.!?](?=[^`\n]*`)(?<=`[^`\n]{0,300})", MASK),                                    # inline code
     (r"(?<=\d)[.,](?=\d)", MASK),                                                       # decimals, versions
-    (r"(?<=https?://\S{0,200})[.!?](?=\S)", MASK),                                      # addresses
+    (r"((?:https?://|\G(?!\A))[^\s.!?]*)[.!?](?=\S)", "$1" + MASK),                             # addresses
     (r"[.?!](?=[\p{L}\p{N}_/=&])(?!(?<=\p{L}\p{L}[.?!])\p{Lu}\p{Ll})(?!(?<=\p{L}\p{L}[.?!])\p{Lu} )", MASK),  # file names, dotted names
-    (r"(?<=(?<![\p{L}\p{N}])(?:" + "|".join(ABBREVIATIONS) + r"))\.(?=\s)", MASK),
-    (WORD + DETERMINED + "(" + "|".join([w for v in NUMBERED.values() for w in v.split()] + GUARDED) + r")\." + NUMBER, "$1" + MASK),
-    (WORD + "(" + VOWELLESS + r")\.(?=\s+[(\[]?\p{Nd})", "$1" + MASK),
-    (r"(?<![\p{L}\p{M}])((" + UNITS + r"))\.(?=\s+\d+(?:[.,]\d+)?\s*(?!\2(?!\p{L}))" + UNITS + r"(?!\p{L}))", "$1" + MASK),   # 4 hrs. 12 min.
-    (r"(?<=(?<![\p{L}\p{N}])\p{Lu})\.(?=\s+\p{Lu})", MASK),                             # initials
-    (r"(?<=(?:dem|der|den|am|im|zum|zur|des|vom) \d{1,3})\.(?=\s+\p{Lu})", MASK),       # German ordinals
+    (r"\.(?=\s)(?<=(?<![\p{L}\p{N}])(?:" + "|".join(ABBREVIATIONS) + r")\.)", MASK),
+    (r"(?=[\p{L}\p{M}]{1,8}\.\s)" + WORD + DETERMINED + "(" + "|".join([w for v in NUMBERED.values() for w in v.split()] + GUARDED) + r")\." + NUMBER, "$1" + MASK),
+    (r"(?=[\p{L}\p{M}]{1,8}\.\s)" + WORD + "(" + VOWELLESS + r")\.(?=\s+[(\[]?\p{Nd})", "$1" + MASK),
+    (r"(?=\p{L}{1,8}\.\s)(?<![\p{L}\p{M}])((" + UNITS + r"))\.(?=\s+\d+(?:[.,]\d+)?\s*(?!\2(?!\p{L}))" + UNITS + r"(?!\p{L}))", "$1" + MASK),   # 4 hrs. 12 min.
+    (r"\.(?=\s+\p{Lu})(?<=(?<![\p{L}\p{N}])\p{Lu}\.)", MASK),                             # initials
+    (r"\.(?=\s+\p{Lu})(?<=(?:dem|der|den|am|im|zum|zur|des|vom) \d{1,3}\.)", MASK),       # German ordinals
     (r"[.!?…]+(?=\s+\p{Ll})(?!\s+[\w/]+[]\w)", MASK),                             # runs on in lower case
-    (r"[.!?。！？।؟…](?=[^“„”]*”)(?<=“[^”“]{0,400})", INNER),
-    (r"[.!?।؟…](?=[^“„”]*“)(?<=„[^“„]{0,400})", INNER),
-    (r"[.!?।؟…](?=[^«»]*»)(?<=«[^«»]{0,400})", INNER),
-    (r"[.!?…](?=[^\"]*\")(?<=(?:^|\s)\"[^\"]{0,400})", INNER),
-    (r"[.!?。！？।؟…](?=[^()（）]*[)）])(?<=[(（][^()（）]{0,400})", INNER),
-    (r"[。！？…](?=[^「」]*」)(?<=「[^「」]{0,400})", INNER),
+]
+# Spans read from opener to closer, of any length: (pattern of a span without its own marks inside, openers, marks, mask).
+CODE = (r"``[^`]*``|`[^`]*`", "", "`", MASK)
+SPANS = [
+    ("„[^„“”]*[“”]", "", "„“”", INNER),
+    ("“[^„“”]*”", "“", "„“”", INNER),
+    ("«[^«»]*»", "«", "«»", INNER),
+    (r"(?<!\S)\"[^\"]*\"", "", "\"", INNER),
+    ("[(（][^()（）]*[)）]", "(（", "()（）", INNER),
+    ("「[^「」]*」", "「", "「」", INNER),
 ]
 CUTS = [
     r"([.!?؟।]+[\"'”’“»)\]）」』]*(?:[   ]»)?)(?=\s|$|[\p{Lu}])",
     r"([。！？]+[”’」』）)\"]*)(?=.)",
-    r"([\"”“»]|[   ]»)(?=\s+[\p{Lu}¿¡«“„(])",
-    r"((?<=(?:^|[.!?。！？।]\s{0,3})[(（][^()（）]{0,400})[)）])(?=.)",
+    r"(*[\"”“»]|*[   ]»)(?=\s+[\p{Lu}¿¡«“„(])",
+    r"((?:^|[.!?。！？।]\s*)[(（][^()（）]**[)）])(?=.)",
     r"((?<=[ก-ๅ็-๎])(?<!เช่น)\s)(?=[ก-๎])(?!เช่น)",
 ]
 
@@ -72,9 +76,11 @@ def sentences(documents: DataFrame) -> DataFrame:
     b = c.select("doc_id", "at", F.posexplode(_pieces(s)).alias("k", "p")).select("doc_id", (F.col("at") + F.col("p.o")).alias("at"), F.col("p.s").alias("s"))
     mark = F.length(F.regexp_extract("s", r"^(\s*(?:#{1,6}\s+|(?:[-*+]|\d{1,3}[.)])[ \t]+)?)", 1))
     b = b.select("doc_id", (F.col("at") + mark).alias("at"), F.expr("substring(s, length(regexp_extract(s, '^(\\\\s*(?:#{1,6}\\\\s+|(?:[-*+]|\\\\d{1,3}[.)])[ \\\\t]+)?)', 1)) + 1)").alias("s"))
-    m = F.col("s")
+    m = _span(F.col("s"), *CODE)
     for p, to in MASKS:
         m = F.regexp_replace(m, p, to)
+    for span in SPANS:
+        m = _span(m, *span)
     for p in CUTS:
         m = F.regexp_replace(m, p, "$1" + CUT)
     x = b.select("doc_id", "at", F.explode(_pieces(m)).alias("p")).select("doc_id", (F.col("at") + F.col("p.o")).alias("at"), F.col("p.s").alias("s"))
@@ -83,6 +89,25 @@ def sentences(documents: DataFrame) -> DataFrame:
     return x.filter(body > 0).select("doc_id", (F.col("at") + lead).cast("bigint").alias("sent_start"), (F.col("at") + lead + body).cast("bigint").alias("sent_end"))
 
 
+def _span(m, pair, openers, marks, to):
+    """Masks the terminators inside whole spans. A round takes the innermost spans and hides their marks from the next; the rounds are as many
+    as openers follow an opener, or closers a closer, so neither length nor depth is bounded. At the end the outermost marks are put back."""
+    hidden = "".join(chr(0xe010 + i) for i in range(len(marks)))
+    old, new = TERMINATORS + marks + hidden, to * len(TERMINATORS) + hidden + DEEP * len(marks)
+    tokens = F.lit(f"{pair}|[^{marks}]+|[{marks}]")
+
+    def once(x):
+        return F.array_join(F.transform(F.regexp_extract_all(x, tokens, F.lit(0)), lambda t: F.when((F.length(t) > 1) & F.substring(t, 1, 1).isin(*marks), F.translate(t, old, new)).otherwise(t)), "")
+
+    def whole(x):
+        if not openers:
+            return once(x)
+        nested = [F.regexp_count(x, F.lit(f"[{k}](?=[^{marks}]*[{k}])")) for k in (openers, marks.translate(dict.fromkeys(map(ord, openers))))]
+        return F.aggregate(F.sequence(F.lit(0), F.least(*nested)), x, lambda a, _: once(a))
+
+    return F.transform(F.array(m), lambda x: F.when(x.rlike(f"[{marks}]"), F.translate(whole(x), hidden, marks)).otherwise(x))[0]
+
+
 def _pieces(marked):
     """Array of (o, s): the parts between cuts and their offsets without the cuts."""
     parts = F.split(marked, CUT, -1)

@@ -42,3 +42,18 @@ def test_sentences_that_end_before_numbers(spark):
     true = ["Plan A failed.", "1.7 was the best score so far.", "We dropped gaps, outliers, etc.", "4.3 came next.", "The run took 4 hrs.", "12 files were lost.", "It weighs 3 kg.", "2 parts are missing.",
             "Drop the col.", "5 rows stay.", "Run prep/clean.sql.", "8 rows fail.", "We use HTTP.", "3 calls fail.", "Das Rad passt.", "5 Tage reichen.", "La tabla baja; el resto no.", "7 filas quedan."]
     assert split(spark, " ".join(true)) == true
+
+
+def test_long_spans(spark):
+    x = "It is so. We saw it! " * 60
+    true = [f"He said “{x}so” and left.", f"Sie sagte „{x}so“ und ging.", f"Il dit « {x}so » puis sortit.", f'They said "{x}so" and left.', f"We left (see {x}so) at once.", f"Use `{x}so` here.",
+            f"See https://a.b/{'v2.1/' * 90}x.html now.", f"({x.strip()})", "Then it ended."]
+    assert split(spark, " ".join(true)) == true
+    ja = [f"彼は「{'はい。' * 300}」と言った。", f"（{'下書きです。' * 200}）", "次です。"]
+    assert split(spark, "".join(ja)) == ja
+
+
+def test_nested_and_open_spans(spark):
+    true = ["We left (see A. Then (or B. Then (or C. So) on. Also) that. Really) at once.", "Il dit « Bien. Puis « Non. Oui. » encore. Assez » et sortit.", "Call `a.b` now.", "Then call `c.d` twice.",
+            "One ( is open.", "Then “ is open.", "So is this."]
+    assert split(spark, " ".join(true)) == true
