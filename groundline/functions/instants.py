@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 # Offsets in minutes of the abbreviations used in the zones of the environments table.
 ABBREVIATIONS = {"UTC": 0, "GMT": 0, "Z": 0, "BST": 60, "CET": 60, "CEST": 120, "EST": -300, "EDT": -240, "CST": -360,
                  "CDT": -300, "JST": 540, "IST": 330, "AEST": 600, "AEDT": 660}
+EXACT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?"
 ZONE = r"\s*(Z|UTC|GMT|[A-Z]{3,4}|[+-]\d{2}(?::?\d{2})?|[A-Za-z_]+/[A-Za-z_/]+)?(?:\[[A-Za-z_/]+\])?"
@@ -28,6 +29,7 @@ def parsed(d: DataFrame) -> DataFrame:
     rules: a repeated one is the first, a skipped one moves forward by the skip.
     """
     raw = F.col("raw")
+    exact = F.when(raw.rlike(EXACT) & ~raw.startswith("0000"), F.unix_micros(raw.try_cast("timestamp")))
     canon = F.when(raw.rlike(FORMS[0][0]), F.regexp_replace(raw, *map(F.lit, FORMS[0])))
     for p, to in FORMS[1:]:
         canon = canon.when(raw.rlike(p), F.regexp_replace(raw, F.lit(p), F.lit(to)))

@@ -2,10 +2,13 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The characters of the Unicode property White_Space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
+
 
 def strip(c) -> Column:
-    """Without Unicode white space at both ends; null stays null."""
-    return F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"(?U)^\s+|\s+$", "")
+    """Without Unicode white space at both ends; null stays null. A trim, not a pattern: only the ends are looked at."""
+    return F.btrim(F.col(c) if isinstance(c, str) else c, F.lit(WHITE))
 
 
 def ident(c) -> Column:

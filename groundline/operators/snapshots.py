@@ -5,8 +5,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import code, ident, strip
+from ..sources.tables import materialise
 
-LEAF_BITS, FAN_BITS = 12, 4
+FAN_BITS, LEAF_ROWS = 4, 256
 
 
 def _json(c):
@@ -20,7 +21,7 @@ def _ser(*cols):
 
 
 def rows_of(nodes: DataFrame, claims: DataFrame, evidence: DataFrame) -> DataFrame:
-    """table_name, snapshot_id, record_id, at, body: the compared content, in one writing."""
+    """table_name, snapshot_id, record_id, at, body: a digest of the compared content, in one writing."""
     parts = [
         ("nodes", nodes, "node_id", _ser(code("node_type"), F.col("name"), F.array_sort(F.array_distinct("aliases")), _json("attributes"))),
         ("claims", claims, "claim_id", _ser(ident("subject"), code("predicate"), ident("object"), code("assertion_kind"), code("review_status"),
@@ -31,41 +32,66 @@ def rows_of(nodes: DataFrame, claims: DataFrame, evidence: DataFrame) -> DataFra
                                              F.col("delivered_at").alias("at"), F.sha2(b, 256).alias("body")) for t, d, k, b in parts])
 
 
-def snapshot_changes(rows: DataFrame, manifest: DataFrame) -> DataFrame:
-    """table_name, record_id, from_snapshot, to_snapshot, change_kind.
+def current_rows(rows: DataFrame, manifest: DataFrame) -> tuple:
+    """One row per (table, snapshot, record), written once: table_name, i (place of the snapshot by seq), record_id, body, hash; and the names by place.
 
-    Last delivery per snapshot and record (ties: the greater content). Rows of snapshots unknown to the manifest, and
-    null ids, are left out. Leaves are 2^LEAF_BITS hash ranges; digests go up by FAN_BITS; compared from the root down,
-    and rows are diffed only in leaves that differ. The manifest is small and fixed.
+    The last delivery counts (ties: the greater content). Null ids and snapshots unknown to the manifest, which is small and
+    fixed, are left out.
     """
-    m = [(r.snapshot_id, r.seq) for r in manifest.select(ident("snapshot_id").alias("snapshot_id"), "seq").distinct().orderBy("seq").collect()]
-    spark = rows.sparkSession
-    seqs = spark.createDataFrame([(s, i, (m[i - 1][0] if i else None), (m[i + 1][0] if i + 1 < len(m) else None)) for i, (s, _) in enumerate(m)],
-                                 "snapshot_id string, i int, prev string, next string")
-    last = (rows.filter("record_id is not null").groupBy("table_name", "snapshot_id", "record_id").agg(F.max(F.struct("at", "body")).alias("m"))
-            .join(F.broadcast(seqs), "snapshot_id").select("*", F.col("m.body").alias("body"),
-                                                           F.shiftrightunsigned(F.xxhash64("record_id"), 64 - LEAF_BITS).cast("int").alias("leaf")))
-    last = last.withColumn("h", F.xxhash64("record_id", "body")).withColumn("h2", F.xxhash64("body", "record_id", F.lit(7)))
-    # each row stands on the new side of one step and on the old side of the next
-    steps = F.filter(F.array(F.struct((F.col("i") - 1).alias("step"), F.lit(1).alias("new"), F.col("prev").alias("f"), F.col("snapshot_id").alias("t")),
-                             F.struct(F.col("i").alias("step"), F.lit(0).alias("new"), F.col("snapshot_id").alias("f"), F.col("next").alias("t"))),
-                     lambda x: x["f"].isNotNull() & x["t"].isNotNull())
-    sides = last.select("table_name", "record_id", "body", "leaf", "h", "h2", F.explode(steps).alias("x")).select("*", "x.*")
-    on = lambda b: F.when(F.col("new") == b, F.col("h"))
-    on2 = lambda b: F.when(F.col("new") == b, F.col("h2"))
-    leaves = sides.groupBy("table_name", "step", "leaf").agg(F.bit_xor(on(0)).alias("o"), F.bit_xor(on2(0)).alias("o2"),
-                                                             F.bit_xor(on(1)).alias("n"), F.bit_xor(on2(1)).alias("n2"))
-    leaves = leaves.na.fill(0)
+    names = [r.snapshot_id for r in manifest.select(ident("snapshot_id").alias("snapshot_id"), "seq").filter("snapshot_id is not null").groupBy("snapshot_id").agg(F.min("seq").alias("seq"))
+             .orderBy("seq", "snapshot_id").collect()]
+    seqs = F.broadcast(rows.sparkSession.createDataFrame([(s, i) for i, s in enumerate(names)], "snapshot_id string, i int"))
+    last = rows.filter("record_id is not null").join(seqs, "snapshot_id").groupBy("table_name", "i", "record_id").agg(F.max(F.struct("at", "body")).alias("m"))
+    return materialise(last.select("table_name", "i", "record_id", F.col("m.body").alias("body"), F.xxhash64("record_id").alias("hash"))), names
+
+
+def leaf_bits(n_rows: int, leaf_rows: int = LEAF_ROWS) -> int:
+    """Bits of the hash ranges so that a leaf holds some leaf_rows rows, in whole steps of FAN_BITS."""
+    bits = 0
+    while bits < 48 and (n_rows >> bits) > leaf_rows:
+        bits += FAN_BITS
+    return bits
+
+
+def digests(last: DataFrame, bits: int) -> DataFrame:
+    """table_name, i, leaf, d1, d2: per snapshot and hash range the digests of its rows. Two sums of hashes, so order does not count."""
+    leaf = F.shiftrightunsigned("hash", 64 - bits) if bits else F.lit(0).cast("bigint")
+    return last.groupBy("table_name", "i", leaf.alias("leaf")).agg(F.bit_xor(F.xxhash64("record_id", "body")).alias("d1"), F.bit_xor(F.xxhash64("body", "record_id", F.lit(7))).alias("d2"))
+
+
+def differing_leaves(leaves: DataFrame, n_snapshots: int, bits: int) -> DataFrame:
+    """table_name, i (the later snapshot of a step), leaf: top-down, from one digest per snapshot to the leaves below those that differ."""
+    steps = F.explode(F.filter(F.array(F.struct(F.col("i").alias("step"), F.lit(1).alias("new")), F.struct((F.col("i") + 1).alias("step"), F.lit(0).alias("new"))),
+                               lambda x: x["step"].between(1, n_snapshots - 1)))
+    sides = leaves.select("table_name", "leaf", "d1", "d2", steps.alias("x")).select("table_name", "leaf", "d1", "d2", "x.*")
     differ = None
-    for bits in range(0, LEAF_BITS + 1, FAN_BITS):  # root first
-        level = leaves.withColumn("at", F.shiftright("leaf", LEAF_BITS - bits))
+    for b in range(0, bits + 1, FAN_BITS):
+        level = sides.withColumn("at", F.shiftright("leaf", bits - b))
         if differ is not None:
-            up = differ.withColumnRenamed("at", "up")
-            level = level.withColumn("up", F.shiftright("leaf", LEAF_BITS - bits + FAN_BITS)).join(up, ["table_name", "step", "up"], "left_semi")
-        g = level.groupBy("table_name", "step", "at").agg(*[F.bit_xor(F.xxhash64("leaf", c)).alias(c) for c in ("o", "o2", "n", "n2")])
-        differ = g.filter("o <> n or o2 <> n2").select("table_name", "step", "at")
-    near = sides.join(differ.withColumnRenamed("at", "leaf"), ["table_name", "step", "leaf"], "left_semi")
-    d = near.groupBy("table_name", "record_id", "f", "t").agg(F.max(F.when(F.col("new") == 0, F.col("body"))).alias("a"),
-                                                              F.max(F.when(F.col("new") == 1, F.col("body"))).alias("b"))
+            level = level.withColumn("up", F.shiftright("at", FAN_BITS)).join(F.broadcast(differ) if b == FAN_BITS else differ, ["table_name", "step", "up"], "left_semi")
+        side = lambda new, c: F.bit_xor(F.when(F.col("new") == new, F.xxhash64("leaf", c)))
+        g = level.groupBy("table_name", "step", "at").agg(*[side(k, c).alias(f"{c}_{k}") for k in (0, 1) for c in ("d1", "d2")])
+        differ = g.filter("not (d1_0 <=> d1_1 and d2_0 <=> d2_1)").select("table_name", "step", F.col("at").alias("up"))
+    return differ.select("table_name", F.col("step").alias("i"), F.col("up").alias("leaf"))
+
+
+def snapshot_changes(rows: DataFrame, manifest: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """table_name, record_id, from_snapshot, to_snapshot, change_kind.
+
+    Rows are diffed only in hash ranges whose digests differ; the number of ranges follows the number of rows, so a leaf stays
+    as small at any size. The digests are computed once per snapshot and stand for it on both of its steps. Fewer than two
+    snapshots, or empty ones, give no rows.
+    """
+    last, names = current_rows(rows, manifest)
+    bits = leaf_bits(last.count() // max(1, len(names)), leaf_rows)
+    leaves = materialise(digests(last, bits))
+    near = materialise(differing_leaves(leaves, len(names), bits))
+    leaf = F.shiftrightunsigned("hash", 64 - bits) if bits else F.lit(0).cast("bigint")
+    side = last.withColumn("leaf", leaf)
+    new = side.join(near, ["table_name", "i", "leaf"], "left_semi").select("table_name", "record_id", "i", F.lit(1).alias("new"), "body")
+    old = side.withColumn("i", F.col("i") + 1).join(near, ["table_name", "i", "leaf"], "left_semi").select("table_name", "record_id", "i", F.lit(0).alias("new"), "body")
+    body = lambda k: F.max(F.when(F.col("new") == k, F.col("body")))
+    d = new.union(old).groupBy("table_name", "record_id", "i").agg(body(0).alias("a"), body(1).alias("b"))
     kind = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("changed")
-    return d.filter("not (a <=> b)").select("table_name", "record_id", F.col("f").alias("from_snapshot"), F.col("t").alias("to_snapshot"), kind.alias("change_kind"))
+    at = lambda i: F.element_at(F.array(*map(F.lit, names)) if names else F.array(F.lit("")), i)
+    return d.filter("not (a <=> b)").select("table_name", "record_id", at(F.col("i")).alias("from_snapshot"), at(F.col("i") + 1).alias("to_snapshot"), kind.alias("change_kind"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from ..functions.text import ident, strip
 from ..operators import heavy, hierarchy, intervals, orphans, snapshots, timestamps
 from ..sources.tables import table
+from . import time_sql
 
 
 def p1_hierarchy(spark, d):
@@ -12,37 +13,49 @@ def p1_hierarchy(spark, d):
 
 
 def p1_found(spark, d):
-    return hierarchy.hierarchy(hierarchy.contains_edges(table(spark, d, "claims")), with_path=False).select("node_id", "root_id", "depth")
+    return hierarchy.hierarchy(hierarchy.contains_edges(table(spark, d, "claims"))).select("node_id", "root_id", "depth")
 
 
 def p1_descendants(spark, d):
     return hierarchy.descendants(hierarchy.hierarchy(hierarchy.contains_edges(table(spark, d, "claims"))))
 
 
+def p1_second_containers(spark, d):
+    return hierarchy.second_parents(table(spark, d, "claims"))
+
+
 def _values(spark, d):
     return timestamps.time_values(*(table(spark, d, t) for t in ("claims", "evidence", "environments")))
 
 
 def p2_found(spark, d):
-    return timestamps.odd_instants(_values(spark, d))
+    return timestamps.instants(timestamps.odd(_values(spark, d)), timestamps.kept_folder(spark, d))
+
+
+def p2_instants(spark, d):
+    return timestamps.instants(_values(spark, d), timestamps.kept_folder(spark, d))
 
 
 def p3_found(spark, d):
-    return heavy.heavy_nodes(table(spark, d, "claims"))
+    return heavy.heavy_nodes(table(spark, d, "claims"), table(spark, d, "nodes"))
 
 
 def p3_node_results(spark, d):
-    return heavy.node_degrees(table(spark, d, "claims"))
+    return heavy.node_results(table(spark, d, "claims"), table(spark, d, "nodes")).filter("node_id is not null")
+
+
+def p3_type_results(spark, d):
+    return heavy.roll_up(heavy.node_results(table(spark, d, "claims"), table(spark, d, "nodes")))
 
 
 def p4_found(spark, d):
     claims = table(spark, d, "claims")
     tz = F.broadcast(table(spark, d, "environments").select(strip("environment").alias("env"), "tz_name").dropDuplicates(["env"]))
-    c = claims.select(ident("claim_id").alias("id"), ident("subject").alias("subject"), strip("valid_from").alias("raw"), strip("valid_to").alias("to"),
+    c = claims.select(ident("claim_id").alias("record_id"), ident("subject").alias("subject"), strip("valid_from").alias("raw"), strip("valid_to").alias("to"),
                       strip(F.get_json_object("scope", "$.environment")).alias("env"))
-    c = c.filter("id is not null and raw <> ''").groupBy("id").agg(*[F.min(x).alias(x) for x in ("subject", "raw", "to", "env")])
-    c = c.join(tz, "env", "left").withColumn("zone", F.coalesce("tz_name", F.lit("UTC")))
-    c = timestamps.normalised(c)
+    c = c.filter("record_id is not null and raw <> ''").groupBy("record_id").agg(*[F.min(x).alias(x) for x in ("subject", "raw", "to", "env")])
+    c = c.join(tz, "env", "left").withColumn("zone", F.coalesce("tz_name", F.lit("UTC"))).withColumn("source", F.lit("claims.valid_from"))
+    c = timestamps.normalised(c, timestamps.kept_folder(spark, d))
     end = F.when(F.coalesce("to", F.lit("")) == "", F.lit(intervals.OPEN_US)).otherwise(F.unix_micros(F.col("to").try_cast("timestamp")))
     return intervals.spans(c.select("subject", F.col("instant_us").alias("start_us"), end.alias("end_us")))
 
@@ -52,20 +65,54 @@ def p5_found(spark, d):
     return snapshots.snapshot_changes(rows, table(spark, d, "manifest"))
 
 
-def p6_found(spark, d):
+def _loads(spark, d):
     t = {n: table(spark, d, n) for n in ("claims", "unresolved", "nodes", "evidence")}
-    return orphans.probe(orphans.references(t["claims"], t["unresolved"]), orphans.parents(t["nodes"], t["evidence"]))
+    return orphans.run_loads(orphans.references(t["claims"], t["unresolved"]), orphans.parents(t["nodes"], t["evidence"]))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_descendants, p2_found, p3_found, p3_node_results, p4_found, p5_found, p6_found)}
+def p6_found(spark, d):
+    return _loads(spark, d)[0].found()
+
+
+def p6_counts(spark, d):
+    return p6_found(spark, d).groupBy("table_name", "field_name", "ref_state", "load_month").agg(F.count("*").alias("n_references"))
+
+
+def p6_load_counts(spark, d):
+    return _loads(spark, d)[1]
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_descendants, p1_second_containers, p2_found, p2_instants, p3_found, p3_node_results, p3_type_results, p4_found, p5_found,
+                                   p6_found, p6_counts, p6_load_counts)}
 S = r"regexp_replace({}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
 _c = f"(select {S.format('claim_id')} id, min({S.format('subject')}) subject, min({S.format('object')}) object from claims group by 1)"
+_null = lambda c: f"nullif({S.format(c)}, '')"
+_ok = f"upper({S.format('review_status')}) in ('AUTO_VERIFIED', 'HUMAN_APPROVED') and upper({S.format('assertion_kind')}) <> 'INFERRED'"
+_tree = f"""with recursive d as (select {_null('object')} c, {_null('subject')} p from claims where upper({S.format('predicate')}) = 'CONTAINS' and {_ok}),
+e as (select c, min(p) p from d where c is not null and p is not null group by 1), n as (select c id from e union select p from e),
+t(id, root, depth, path) as (select id, id, 0, [id] from n where id not in (select c from e) union all select e.c, t.root, t.depth + 1, list_append(t.path, e.c) from t join e on e.p = t.id),
+h as (select id node_id, root root_id, depth::bigint depth, path from t union all select id, 'CYCLE', -1, null from n where id not in (select id from t))
+"""
+_c3 = f"(select {S.format('claim_id')} id, min({_null('subject')}) s, min({_null('object')}) o, max(coalesce(len(evidence_ids), 0))::bigint r from claims group by 1)"
+_nodes3 = f"""with c as {_c3}, o as (select s node_id, count(*) n, sum(r)::bigint r from c group by 1), i as (select o node_id, count(*) n, sum(r)::bigint r from c group by 1),
+ty as (select {S.format('node_id')} node_id, max(struct_pack(l := loaded_at, t := node_type)).t node_type from nodes group by 1),
+res as (select coalesce(o.node_id, i.node_id) node_id, coalesce(o.n, 0) n_subject, coalesce(i.n, 0) n_object, coalesce(o.r, 0) refs_subject, coalesce(i.r, 0) refs_object
+        from o full join i on o.node_id is not distinct from i.node_id),
+p as (select c2.o is not null as x, c1.o node_id, count(*) n, sum(c1.r + c2.r)::bigint r from c c1 join c c2 on c1.o = c2.s group by 1, 2),
+q as (select node_id, sum(n)::bigint n, sum(r)::bigint r from p group by 1),
+r as (select res.*, ty.node_type, coalesce(q.n, 0) n_two_hop, coalesce(q.r, 0) refs_two_hop from res left join q using (node_id) left join ty using (node_id))
+"""
+_sums3 = ", ".join(f"sum({c})::bigint {c}" for c in ("n_subject", "n_object", "refs_subject", "refs_object", "n_two_hop", "refs_two_hop"))
 ORACLE = {
     "p3_found": f"with c as {_c}, s as (select 'subject' side, subject node_id from c union all select 'object', object from c) "
                 "select side, node_id from s where node_id <> '' group by 1, 2 having count(*) >= 0.02 * (select count(*) from c)",
-    "p3_node_results": f"with c as {_c}, o as (select subject node_id, count(*) n from c group by 1), i as (select object node_id, count(*) n from c group by 1) "
-                       "select node_id, coalesce(o.n, 0) n_subject, coalesce(i.n, 0) n_object, coalesce(o.n, 0) * coalesce(i.n, 0) n_two_hop "
-                       "from o full join i using (node_id) where node_id <> ''",
+    "p3_node_results": _nodes3 + "select * from r where node_id is not null",
+    "p3_type_results": _nodes3 + f"select node_type, grouping(node_type)::int is_total, count(node_id) n_nodes, {_sums3} from r group by rollup (node_type)",
+    "p1_found": _tree + "select node_id, root_id, depth from h",
+    "p1_hierarchy": _tree + "select node_id, root_id, depth, array_to_string(path, ' > ') path from h",
+    "p1_descendants": _tree + "select path[k] ancestor_id, node_id, depth - k + 1 distance from (select *, unnest(range(1, depth + 1)) k from h where depth > 0)",
+    "p1_second_containers": f"with d as (select distinct {_null('object')} c, {_null('subject')} p from claims where upper({S.format('predicate')}) = 'CONTAINS' and {_ok}) "
+                            "select c node_id, p parent_id from d where c is not null and p > (select min(p) from d e where e.c = d.c)",
 }
 
 
@@ -84,3 +131,24 @@ k as (select 'n' p, {S.format('node_id')} ref_id, loaded_at l, deleted_at d from
 j as (select table_name, field_name, record_id, r.ref_id, tm, count(k.l) n, count(*) filter (l <= tm) early, count(*) filter (l <= tm and (d is null or d > tm)) live
 from r left join k on k.p = r.p and k.ref_id = r.ref_id group by 1, 2, 3, 4, 5)
 select table_name, field_name, record_id, ref_id, case when n = 0 then 'missing' when early > 0 then 'deleted' else 'late' end ref_state, strftime(tm, '%Y-%m') load_month from j where live = 0"""
+
+_sn = lambda t, key, body: (f"select '{t}s' table_name, {S.format('snapshot_id')} snap, {S.format(key)} record_id, delivered_at, {body} body from {t}_snapshots") if t != "evidence" else (
+    f"select 'evidence' table_name, {S.format('snapshot_id')} snap, {S.format(key)} record_id, delivered_at, {body} body from evidence_snapshots")
+_up = lambda c: f"upper({S.format(c)})"
+# a JSON value as the sorted list of its paths, kinds and atoms
+_js = ("coalesce((select string_agg(fullkey || '=' || case when type in ('OBJECT', 'ARRAY') then type else coalesce(atom::varchar, 'null') end, chr(1) order by fullkey) "
+       "from json_tree(attributes::json)), 'NULL')")
+_part = lambda xs: "concat_ws(chr(2), " + ", ".join(f"coalesce(({x})::varchar, chr(3))" for x in xs) + ")"
+_bodies = " union all ".join([
+    _sn("node", "node_id", _part([_up("node_type"), "name", "list_sort(list_distinct(aliases))", _js])),
+    _sn("claim", "claim_id", _part([S.format("subject"), _up("predicate"), S.format("object"), _up("assertion_kind"), _up("review_status"),
+                                    f"list_transform(evidence_ids, lambda x: {S.format('x')})"])),
+    _sn("evidence", "evidence_id", _part([S.format("revision"), f"regexp_replace(lower({S.format('content_hash')}), '^sha256:', '')"]))])
+ORACLE["p5_found"] = f"""with b as ({_bodies}), m as (select {S.format('snapshot_id')} snap, row_number() over (order by min(seq)) i from manifest group by 1),
+l as (select table_name, i, record_id, max(struct_pack(d := delivered_at, b := body)).b body from b join m using (snap) group by 1, 2, 3),
+st as (select a.snap f, z.snap t, a.i from m a join m z on z.i = a.i + 1),
+o as (select table_name, record_id, f, t, body from l join st using (i)), n as (select table_name, record_id, f, t, body from l join st on l.i = st.i + 1)
+select table_name, record_id, f from_snapshot, t to_snapshot, case when o.body is null then 'added' when n.body is null then 'removed' else 'changed' end change_kind
+from o full join n using (table_name, record_id, f, t) where o.body is distinct from n.body"""
+ORACLE["p6_counts"] = f"select table_name, field_name, ref_state, load_month, count(*) n_references from ({ORACLE['p6_found']}) group by 1, 2, 3, 4"
+ORACLE |= {"p2_found": time_sql.P2_FOUND, "p2_instants": time_sql.P2_INSTANTS, "p4_found": time_sql.P4_FOUND}

@@ -31,11 +31,11 @@ def test_spans_against_brute_force(spark):
     assert got == want
 
 
-def test_times(spark):
+def test_times(spark, tmp_path):
     cases = {("2024-03-31T02:30:00", "Europe/Berlin"): "2024-03-31T01:30:00", ("2024-10-27 02:30:00", "Europe/Berlin"): "2024-10-27T00:30:00",
              ("1704067200", "UTC"): "2024-01-01T00:00:00", ("Jan 1, 2024 12:05:00 AM EST", "UTC"): "2024-01-01T05:05:00", ("01.02.2024 10:15", "UTC"): "2024-02-01T10:15:00",
              ("2024-W01-1T00:00:00", "UTC"): "2024-01-01T00:00:00", ("2024-060T00:00:00", "UTC"): "2024-02-29T00:00:00", ("Mon, 1 Jan 2024 09:00:00 +0900", "UTC"): "2024-01-01T00:00:00",
              ("2024-02-30", "UTC"): None, ("0000-00-00 00:00:00", "UTC"): None, ("n/a", "UTC"): None, ("2024-01-01T00:00:00+05:30[Asia/Kolkata]", "UTC"): "2023-12-31T18:30:00"}
-    d = timestamps.dictionary(spark.createDataFrame(list(cases), "raw string, zone string"))
+    d = timestamps.dictionary(spark.createDataFrame([(r, z, "t") for r, z in cases], "raw string, zone string, source string"), str(tmp_path))[0]
     got = {(r.raw, r.zone): r.t for r in d.selectExpr("raw", "zone", "date_format(timestamp_micros(instant_us), \"yyyy-MM-dd'T'HH:mm:ss\") t").collect()}
     assert got == cases
