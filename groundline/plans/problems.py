@@ -1,6 +1,7 @@
 """Registered queries of the general problems, over whole tables."""
 from pyspark.sql import functions as F
 
+from ..functions.instants import parsed
 from ..functions.text import ident, strip
 from ..operators import heavy, hierarchy, intervals, orphans, snapshots, timestamps
 from ..sources.tables import table
@@ -49,15 +50,14 @@ def p3_type_results(spark, d):
 
 
 def p4_found(spark, d):
-    claims = table(spark, d, "claims")
     tz = F.broadcast(table(spark, d, "environments").select(strip("environment").alias("env"), "tz_name").dropDuplicates(["env"]))
-    c = claims.select(ident("claim_id").alias("record_id"), ident("subject").alias("subject"), strip("valid_from").alias("raw"), strip("valid_to").alias("to"),
-                      strip(F.get_json_object("scope", "$.environment")).alias("env"))
-    c = c.filter("record_id is not null and raw <> ''").groupBy("record_id").agg(*[F.min(x).alias(x) for x in ("subject", "raw", "to", "env")])
-    c = c.join(tz, "env", "left").withColumn("zone", F.coalesce("tz_name", F.lit("UTC"))).withColumn("source", F.lit("claims.valid_from"))
-    c = timestamps.normalised(c, timestamps.kept_folder(spark, d))
+    c = table(spark, d, "claims").filter(ident("claim_id").isNotNull()).select(ident("subject").alias("subject"), strip("valid_from").alias("raw"), strip("valid_to").alias("to"),
+                                                                              strip(F.get_json_object("scope", "$.environment")).alias("env"))
+    # deliveries of one claim hold one interval, and a union does not change by repetition: no need to make claims distinct
+    c = parsed(c.filter("subject is not null and raw <> ''").join(tz, "env", "left").withColumn("zone", F.coalesce("tz_name", F.lit("UTC"))))
     end = F.when(F.coalesce("to", F.lit("")) == "", F.lit(intervals.OPEN_US)).otherwise(F.unix_micros(F.col("to").try_cast("timestamp")))
-    return intervals.spans(c.select("subject", F.col("instant_us").alias("start_us"), end.alias("end_us")))
+    # the coalesce moves no row: it keeps parsing and cutting in two pieces of generated code, which together pass the JVM's limit
+    return intervals.spans(c.select("subject", F.col("instant_us").alias("start_us"), end.alias("end_us")).coalesce(1 << 20))
 
 
 def p5_found(spark, d):
