@@ -1,8 +1,10 @@
 """Token sizes of documents by a public tokenizer."""
+import os
+
 import pandas as pd
 from pyspark.sql import DataFrame
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.tiktoken"  # a file of the installed public vocabularies, or any path
 _made = {}
 
 
@@ -12,7 +14,8 @@ def _encoding(path):
 
         import public_tokenizers
         import tiktoken
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+        file = path if os.path.isabs(path) else public_tokenizers.path(path)
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(file, "rb"))}
         _made[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _made[path]
 

@@ -1,4 +1,10 @@
+import random
+from collections import defaultdict
+
 from groundline.llm import mixing, packing, sentences
+from groundline.sources.tables import table
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_packing_fits():
@@ -57,3 +63,101 @@ def test_nested_and_open_spans(spark):
     true = ["We left (see A. Then (or B. Then (or C. So) on. Also) that. Really) at once.", "Il dit « Bien. Puis « Non. Oui. » encore. Assez » et sortit.", "Call `a.b` now.", "Then call `c.d` twice.",
             "One ( is open.", "Then “ is open.", "So is this."]
     assert split(spark, " ".join(true)) == true
+
+
+def test_places_hold_after_masks(spark):
+    for text in ["Wait... what is it now? Next one here. Last one.", "Ab\ue002c \ue005 icon. Next\ue000 one! End.", "He asked 4.2?! then left... and so on. Fine."]:
+        assert " ".join(split(spark, text)) == text
+    assert split(spark, "Wait... what is it now? Next one here. Last one.") == ["Wait... what is it now?", "Next one here.", "Last one."]
+
+
+def test_titles_hours_and_file_types(spark):
+    true = ["Dr. Smith met Gen. Miller at 3 p.m. Tuesday.", "It ran at 4 p.m.", "Then it ended.", "Approx. 5 kg were left.", "Run load_frames.R first!", "train.py writes it.", "Am 3. Mai war Schluss."]
+    assert split(spark, " ".join(true)) == true
+    assert split(spark, "As Ann asks: “why so?” load.R writes it. She said “so.” and left.") == ["As Ann asks: “why so?”", "load.R writes it.", "She said “so.” and left."]
+    assert split(spark, "真的吗？！") == ["真的吗？！"]
+    assert split(spark, "真的吗？！索引停。\n矩阵不变。") == ["真的吗？！", "索引停。", "矩阵不变。"]
+    assert split(spark, "La tabla baja.¡Ejecute primero run.sh!") == ["La tabla baja.", "¡Ejecute primero run.sh!"]
+
+
+def test_a_paragraph_of_a_hundred_thousand_characters(spark):
+    one = ["The run took 4 hrs. 12 min. on the decoder (see Fig. 3).", "“Stop. Go.” he said."]
+    text = " ".join(one * 1300)
+    assert len(text) > 100_000 and split(spark, text) == one * 1300
+
+
+def test_packing_keeps_every_token_and_capacity(spark):
+    rnd = random.Random(5)
+    docs = [(i, rnd.choice([0, 1, 3, 700, 512, 1024, 1025, rnd.randrange(1, 3000)])) for i in range(300)] + [(300, None)]
+    sizes = spark.createDataFrame(docs, "doc_id bigint, tokens bigint")
+    kinds = spark.createDataFrame([("short", 512), ("two", 100), ("two", 700), ("none", None)], "container_kind string, capacity_tokens int")
+    for blocks in (1, 3):
+        fill, parts, caps = defaultdict(int), defaultdict(list), {"short": [512], "two": [100, 700]}
+        for r in packing.pack(sizes, kinds, blocks).collect():
+            if r.tokens:
+                fill[r.container_kind, r.container_id] += r.tokens
+            parts[r.container_kind, r.doc_id].append(r.tokens)
+        for (k, c), n in fill.items():
+            assert n <= int(c.split("-")[1])
+        for i, n in docs:
+            assert sum(parts["short", i]) == (n or 0) and sum(parts["two", i]) == 2 * (n or 0)
+            assert sum(0 < t < 512 for t in parts["short", i]) <= 1
+    assert packing.pack(sizes, kinds.limit(0), 1).count() == 0
+
+
+def test_mix_never_leaves_its_share_by_a_block(spark):
+    rnd = random.Random(7)
+    sizes = spark.createDataFrame([(i, rnd.choice("aabc") if i % 9 else None, rnd.choice([0, 5, 60, 900])) for i in range(400)], "doc_id bigint, source string, tokens bigint")
+    targets = spark.createDataFrame([("m", "a", 0.5, 2), ("m", "b", 0.3, 9), ("m", "c", 0.2, 9), ("m", "z", 0.4, 1)], "mix_name string, source string, target_share double, max_repeats int")
+    block, share = 64, {"a": 0.5, "b": 0.3, "c": 0.2}
+    rows = mixing.mix(sizes, targets, block_tokens=block).collect()
+    slots = defaultdict(dict)
+    for r in rows:
+        slots[r.slot][r.source] = slots[r.slot].get(r.source, 0) + r.tokens
+    assert all(len(s) == 1 and max(s.values()) <= block for s in slots.values())
+    got = dict.fromkeys(share, 0)
+    for k, s in sorted(slots.items()):
+        for x, n in s.items():
+            got[x] += n
+        total = sum(got.values())
+        assert all(abs(got[x] - total * share[x]) < block for x in share)
+    # whole documents: pieces of one repeat join without gap, at most max_repeats times, and only the last one of a source is cut
+    pieces = defaultdict(list)
+    for r in rows:
+        pieces[r.source, r.doc_id, r.repeat_no].append((r.token_start, r.token_end))
+    n = {r.doc_id: r.tokens for r in sizes.collect()}
+    cut = defaultdict(int)
+    for (s, i, _), p in pieces.items():
+        p.sort()
+        assert p[0][0] == 0 and all(x[1] == y[0] for x, y in zip(p, p[1:]))
+        cut[s] += p[-1][1] != n[i]
+    assert max(cut.values()) <= 1 and max(k for s, _, k in pieces if s == "a") <= 1
+
+
+def test_mix_target_size_and_small_shares(spark):
+    assert mixing.units({"a": 0.9999, "b": 0.0001}) == {"a": 9999, "b": 1}
+    assert mixing.units({"a": 0.45, "b": 0.25, "c": 0.2}) == {"a": 9, "b": 5, "c": 4}
+    sizes = spark.createDataFrame([(1, "a", 100), (2, "b", 1000)], "doc_id bigint, source string, tokens bigint")
+    targets = spark.createDataFrame([("m", "a", 0.5, 2), ("m", "b", 0.5, 2)], "mix_name string, source string, target_share double, max_repeats int")
+    total = lambda n: {r.source: r.tokens for r in mixing.shares(mixing.mix(sizes, targets, n, 16), targets).collect()}
+    assert total(None) == {"a": 200, "b": 200} and total(100) == {"a": 50, "b": 50} and total(1000) == {"a": 200, "b": 500}
+    assert mixing.mix(sizes.limit(0), targets).count() == 0
+
+
+def test_mix_of_the_tables_meets_its_targets(spark):
+    from groundline.llm import queries
+    for r in queries.p8_shares(spark, SF).collect():
+        live = [x for x in table(spark, SF, "mix_targets").collect() if x.mix_name == r.mix_name]
+        if r.tokens:
+            whole = sum(x.target_share for x in live if x.source != "retired-wiki")
+            total = r.tokens / r.reached_share
+            assert abs(r.tokens - total * r.target_share / whole) < mixing.BLOCK_TOKENS
+
+
+def test_edge_cases_of_sentences(spark):
+    schema = "doc_id bigint, text string, cells array<struct<cell_kind string, start_pos int, end_pos int>>, at string, s string"
+    rows = [(1, None, [("text", 0, 3)], "x", "y"), (2, "", [("text", 0, 0)], None, None), (3, "A b. C d.", None, "x", "y"), (4, "A b. C d.", [(None, 0, 4), (" Text ", 0, 9)], "x", "y"),
+            (5, "A b. C d.", [("code", 0, 9)], "x", "y")]
+    got = {(r.doc_id, r.sent_start, r.sent_end) for r in sentences.sentences(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {(4, 0, 4), (4, 5, 9)}
+    assert sentences.sentences(spark.createDataFrame([], schema)).count() == 0
