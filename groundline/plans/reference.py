@@ -1,43 +1,267 @@
 """Registered queries of the dependency-graph operators, over whole tables."""
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import accepted, code, ident
-from ..operators.traversal import lineage_edges as edges
-from ..operators.traversal import reach
-from ..sources.tables import table
+from ..functions.text import accepted
+from ..operators import search, validation
+from ..operators import traversal as t
+from ..records import Records
+from . import graph_sql as g
+
+START, END = "urn:tarn:shared:repository:mono-flows", "urn:tarn:shared:logicaldataset:tenant-directory"
+TOPK_QUERY, FUZZY_QUERY = "shared ledger job", "ledgr clsoe"
 
 
 def accepted_claims(spark, d):
-    return table(spark, d, "claims").filter(accepted()).select(ident("claim_id").alias("claim_id"), ident("subject").alias("subject"),
-                                                             code("predicate").alias("predicate"), ident("object").alias("object")).distinct()
+    return Records(spark, d).claims.filter(accepted()).select("claim_id", "subject", "predicate", "object")
 
 
 def claims_by_predicate(spark, d):
-    return table(spark, d, "claims").groupBy(code("predicate").alias("predicate")).agg(F.countDistinct(ident("claim_id")).alias("n_claims"))
+    return Records(spark, d).claims.groupBy("predicate").agg(F.count("*").alias("n_claims"))
+
+
+def unresolved_by_reason(spark, d):
+    return Records(spark, d).unresolved.groupBy("reason").agg(F.count("*").alias("n_unresolved"))
+
+
+def nodes_by_type(spark, d):
+    return Records(spark, d).nodes.groupBy("node_type").agg(F.count("*").alias("n_nodes"))
 
 
 def dup_ids(spark, d):
-    return table(spark, d, "claims").groupBy(ident("claim_id").alias("claim_id")).agg(F.count("*").alias("n_rows")).filter("n_rows > 1")
+    from ..functions.text import ident
+    from ..sources.tables import table
+    return reduce(DataFrame.unionByName, [validation.duplicate_ids(table(spark, d, name).select(ident(key).alias("record_id")), "record_id").withColumn("table_name", F.lit(name))
+                                          for name, key in validation.TABLES.values()])
 
 
 def review_queue(spark, d):
-    return table(spark, d, "claims").filter(~accepted() & (code("review_status") != "REJECTED")).select(ident("claim_id").alias("claim_id")).distinct()
+    return validation.review_queue(Records(spark, d).claims).select("claim_id")
 
 
 def lineage_edges(spark, d):
-    return edges(table(spark, d, "claims"))
+    return t.lineage_edges(Records(spark, d).claims)
+
+
+def _walk(spark, d, **how):
+    r = Records(spark, d)
+    t.check(r.nodes, START, max_hops=4)
+    return r, t.traverse(t.lineage_edges(r.claims), START, 4, **how)
+
+
+def _flat(found, nodes):
+    return t.enriched(found, nodes).select("node_id", "node_type", "name", "hops", "via_claim_id", F.array_join("path_nodes", ">").alias("path_nodes"), F.array_join("path_claims", ">").alias("path_claims"))
 
 
 def downstream_h4(spark, d):
-    return reach(edges(table(spark, d, "claims")), "urn:tarn:shared:repository:mono-flows", 4)
+    r, f = _walk(spark, d, cap=None)
+    return _flat(f, r.nodes)
+
+
+def upstream_h4(spark, d):
+    r, f = _walk(spark, d, upstream=True, cap=None)
+    return _flat(f, r.nodes)
+
+
+def traversal_capped_500(spark, d):
+    r, f = _walk(spark, d)
+    return _flat(f, r.nodes)
+
+
+def traversal_capped_20(spark, d):
+    r, f = _walk(spark, d, cap=20)
+    return _flat(f, r.nodes)
+
+
+def downstream_hops_only(spark, d):
+    return t.reach(lineage_edges(spark, d), START, 4)
+
+
+def path_evidence(spark, d):
+    r, f = _walk(spark, d)
+    return t.packed_paths(f, r.claims).select("node_id", F.col("hops").cast("int").alias("hops"), F.array_join("evidence_ids", ",").alias("evidence_ids"),
+                                              F.array_join(F.transform("steps", lambda s: F.concat_ws("|", s["from_node"], s["predicate"], s["to_node"], s["review_status"])), ",").alias("steps"))
+
+
+def impact_summary(spark, d):
+    r, f = _walk(spark, d)
+    return t.impact(f, r.nodes)[0]
+
+
+def impact_by_type(spark, d):
+    r, f = _walk(spark, d)
+    return t.impact(f, r.nodes)[1]
+
+
+def unresolved_boundaries(spark, d):
+    r, f = _walk(spark, d)
+    visited = f.select("node_id").union(spark.createDataFrame([(START,)], "node_id string"))
+    return t.boundaries(r.unresolved, visited).select("unresolved_id", "source_node_id", "reason", "target_hint")
+
+
+def _paths(spark, d, cap):
+    r = Records(spark, d)
+    t.check(r.nodes, START, END, max_hops=4)
+    p, _ = t.shortest_paths(t.lineage_edges(r.claims), START, END, 4, cap)
+    return p.select("hops", F.array_join("path_nodes", ">").alias("path_nodes"), F.array_join("path_claims", ">").alias("path_claims"))
+
+
+def shortest_paths(spark, d):
+    return _paths(spark, d, t.PATH_CAP)
+
+
+def shortest_paths_first(spark, d):
+    return _paths(spark, d, 1)
+
+
+def claim_evidence_lookup(spark, d):
+    r = Records(spark, d)
+    refs = r.claims.select("claim_id", F.posexplode("evidence_ids").alias("position", "evidence_id"))
+    return refs.join(r.evidence.select("evidence_id", "source_name", "revision", "path", "locator"), "evidence_id").select("claim_id", "position", "evidence_id", "source_name", "revision", "path", "locator")
+
+
+def _tier(spark, d, query, keep):
+    return search.scored(Records(spark, d).nodes, query, fuzzy=False).filter(keep).select("score", "node_id", "node_type", "name")
+
+
+def find_exact(spark, d):
+    return _tier(spark, d, "Mono-Flows", "score = 100").unionByName(_tier(spark, d, START, "score = 100"))
+
+
+def find_prefix(spark, d):
+    return _tier(spark, d, "harbor_", "score = 85")
+
+
+def find_contains(spark, d):
+    return _tier(spark, d, "clean", "score = 70")
+
+
+def find_token(spark, d):
+    return _tier(spark, d, "shared service lantern", "score < 70")
+
+
+def find_ranked_topk(spark, d):
+    return search.find(Records(spark, d).nodes.filter(F.col("node_type").isNotNull()), TOPK_QUERY, limit=25).select("score", "node_id", "node_type", "name")
+
+
+def find_fuzzy(spark, d):
+    return search.scored(Records(spark, d).nodes, FUZZY_QUERY).filter("score < 45").select("score", "node_id", "node_type", "name")
+
+
+def missing_endpoints(spark, d):
+    return validation.missing_endpoints(Records(spark, d))
+
+
+def missing_evidence(spark, d):
+    r = Records(spark, d)
+    return validation.missing_evidence(r.claims, "claim_id", r.evidence)
+
+
+def unresolved_missing_source(spark, d):
+    r = Records(spark, d)
+    return validation.missing(r.unresolved, "source_node_id", r.nodes, "node_id").select("unresolved_id", "source_node_id")
+
+
+def unresolved_missing_evidence(spark, d):
+    r = Records(spark, d)
+    return validation.missing_evidence(r.unresolved, "unresolved_id", r.evidence)
+
+
+def unused_evidence(spark, d):
+    return validation.unused_evidence(Records(spark, d))
+
+
+def dup_accepted_edges(spark, d):
+    return validation.duplicate_edges(Records(spark, d).claims)
+
+
+def bundle_counts(spark, d):
+    return validation.counts(Records(spark, d))
+
+
+def pinned_revision(spark, d):
+    return Records(spark, d).evidence.select("evidence_id", "revision", validation.pinned("revision").alias("is_pinned"))
+
+
+def evidence_path_portable(spark, d):
+    return Records(spark, d).evidence.select("evidence_id", validation.portable(F.col("path")).alias("is_portable"))
+
+
+def canonical_orientation(spark, d):
+    return validation.messages(Records(spark, d)).filter("rule in ('V5', 'V6')").select("rule", "record_id")
+
+
+def record_faults(spark, d):
+    return validation.record_faults(Records(spark, d)).select("record_id", "message")
+
+
+def validation_messages(spark, d):
+    return validation.messages(Records(spark, d)).groupBy("rule", "severity").agg(F.count("*").alias("n"))
+
 
+QUERIES = {f.__name__: f for f in (
+    accepted_claims, claims_by_predicate, unresolved_by_reason, nodes_by_type, dup_ids, review_queue, lineage_edges, downstream_h4, upstream_h4, traversal_capped_500, traversal_capped_20,
+    downstream_hops_only, path_evidence, impact_summary, impact_by_type, unresolved_boundaries, shortest_paths, shortest_paths_first, claim_evidence_lookup, find_exact, find_prefix, find_contains,
+    find_token, find_ranked_topk, find_fuzzy, missing_endpoints, missing_evidence, unresolved_missing_source, unresolved_missing_evidence, unused_evidence, dup_accepted_edges, bundle_counts,
+    pinned_revision, evidence_path_portable, canonical_orientation, record_faults, validation_messages)}
 
-QUERIES = {f.__name__: f for f in (accepted_claims, claims_by_predicate, dup_ids, review_queue, lineage_edges, downstream_h4)}
-_s = lambda c: rf"regexp_replace({c}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
-_ok = f"upper({_s('review_status')}) in ('AUTO_VERIFIED', 'HUMAN_APPROVED') and upper({_s('assertion_kind')}) <> 'INFERRED'"
+_R, _ok = g.RECORDS, g.accepted()
+_walk_sql = lambda up, cap: g.levels(START, 4, up, cap)
+_flat_sql = f" select node_id, node_type, name, {g.PATH_COLUMNS.replace('{start}', START)} from found left join r_nodes using (node_id)"
+_down500 = _walk_sql(False, t.FOUND_CAP)
+_many = 1 << 60
+_dups = " union all ".join(f"select '{n}' table_name, {g.ident(k)} record_id, count(*) n_rows from {n} group by 2 having count(*) > 1" for n, k in validation.TABLES.values())
+_pinned = (r"regexp_matches(v, '^[0-9a-fA-F]{7,64}$') or regexp_matches(v, '^(sha256:)?[0-9a-fA-F]{64}$') or regexp_matches(v, '[\p{Nd}]')")
+_moving = ", ".join(f"'{x}'" for x in validation.MOVING)
+_ev = lambda d, k: f"select {k}, evidence_id from (select distinct {k}, unnest(evidence_ids) evidence_id from {d}) where evidence_id not in (select evidence_id from r_evidence)"
+_used = "select unnest(evidence_ids) from r_claims union select unnest(evidence_ids) from r_unresolved"
 ORACLE = {
-    "accepted_claims": f"select distinct {_s('claim_id')} claim_id, {_s('subject')} subject, upper({_s('predicate')}) predicate, {_s('object')} object from claims where {_ok}",
-    "claims_by_predicate": f"select upper({_s('predicate')}) predicate, count(distinct {_s('claim_id')}) n_claims from claims group by 1",
-    "dup_ids": f"select {_s('claim_id')} claim_id, count(*) n_rows from claims group by 1 having count(*) > 1",
-    "review_queue": f"select distinct {_s('claim_id')} claim_id from claims where not ({_ok}) and upper({_s('review_status')}) <> 'REJECTED'",
+    "accepted_claims": f"{_R} select claim_id, subject, predicate, object from r_claims where {_ok}",
+    "claims_by_predicate": f"{_R} select predicate, count(*) n_claims from r_claims group by 1",
+    "unresolved_by_reason": f"{_R} select reason, count(*) n_unresolved from r_unresolved group by 1",
+    "nodes_by_type": f"{_R} select node_type, count(*) n_nodes from r_nodes group by 1",
+    "dup_ids": _dups,
+    "review_queue": f"{_R} select claim_id from r_claims where not coalesce({_ok}, false) and review_status is distinct from 'REJECTED'",
+    "lineage_edges": f"{g.EDGES} select * from edges",
+    "downstream_h4": _walk_sql(False, _many) + _flat_sql,
+    "upstream_h4": _walk_sql(True, _many) + _flat_sql,
+    "traversal_capped_500": _down500 + _flat_sql,
+    "traversal_capped_20": _walk_sql(False, 20) + _flat_sql,
+    "downstream_hops_only": _walk_sql(False, _many) + " select node_id, hops from found",
+    "path_evidence": _down500 + """, st as (select node_id, hops, i, path[3 * i] claim_id, path[3 * i - 1] to_node, case when i = 1 then '""" + START + """' else path[3 * i - 4] end from_node
+        from (select *, unnest(range(1, hops + 1)) i from found)), j as (select * from st join r_claims using (claim_id)),
+        ev as (select node_id, string_agg(x, ',' order by x) evidence_ids from (select distinct node_id, unnest(evidence_ids) x from j) group by 1)
+        select node_id, hops, any_value(evidence_ids) evidence_ids, string_agg(from_node || '|' || predicate || '|' || to_node || '|' || review_status, ',' order by i) steps
+        from (select j.* exclude (evidence_ids), ev.evidence_ids from j left join ev using (node_id)) group by 1, 2""",
+    "impact_summary": _down500 + " select count(*) filter (hops = 1) direct, count(*) filter (hops > 1) transitive, count(*) total from found",
+    "impact_by_type": _down500 + " select node_type, count(*) n_nodes from found left join r_nodes using (node_id) group by 1",
+    "unresolved_boundaries": _down500 + f" select unresolved_id, source_node_id, reason, target_hint from r_unresolved where source_node_id = '{START}' or source_node_id in (select node_id from found)",
+    "shortest_paths": g.shortest(START, END, 4, t.PATH_CAP),
+    "shortest_paths_first": g.shortest(START, END, 4, 1),
+    "claim_evidence_lookup": f"""{_R} select claim_id, i - 1 as position, evidence_id, source_name, revision, path, locator
+        from (select claim_id, unnest(range(1, len(evidence_ids) + 1)) i, evidence_ids[i] evidence_id from r_claims) join r_evidence using (evidence_id)""",
+    "find_exact": g.find("Mono-Flows", "score = 100") + " union all (" + g.find(START, "score = 100") + ")",
+    "find_prefix": g.find("harbor_", "score = 85"),
+    "find_contains": g.find("clean", "score = 70"),
+    "find_token": g.find("shared service lantern", "score < 70"),
+    "find_ranked_topk": g.find(TOPK_QUERY, "node_type is not null") + " order by score desc, node_type, name, node_id limit 25",
+    "missing_endpoints": f"""{_R} select * from (select claim_id, 'subject' side, subject node_id from r_claims union all select claim_id, 'object', object from r_claims)
+        where node_id is not null and node_id not in (select node_id from r_nodes)""",
+    "missing_evidence": f"{_R} {_ev('r_claims', 'claim_id')}",
+    "unresolved_missing_source": f"{_R} select unresolved_id, source_node_id from r_unresolved where source_node_id is not null and source_node_id not in (select node_id from r_nodes)",
+    "unresolved_missing_evidence": f"{_R} {_ev('r_unresolved', 'unresolved_id')}",
+    "unused_evidence": f"{_R} select evidence_id from r_evidence where evidence_id not in (select * from ({_used}) u(x) where x is not null)",
+    "dup_accepted_edges": f"""{_R} select * from (select subject, predicate, object, lag(claim_id) over (partition by subject, predicate, object order by claim_id) previous_id, claim_id
+        from r_claims where {_ok}) where previous_id is not null""",
+    "bundle_counts": f"""{_R} select 'nodes' metric, count(*) "value" from r_nodes union all select 'evidence', count(*) from r_evidence union all select 'unresolved', count(*) from r_unresolved
+        union all select 'claims', count(*) from r_claims union all select 'accepted_claims', count(*) from r_claims where {_ok}
+        union all select 'review_queue', count(*) from r_claims where not coalesce({_ok}, false) and review_status is distinct from 'REJECTED'""",
+    "pinned_revision": f"""{_R} select evidence_id, revision, coalesce(v <> '' and lower(v) not in ({_moving}) and not regexp_matches(lower(v), '^(refs/heads/|origin/|remotes/)') and ({_pinned}), false) is_pinned
+        from (select *, revision v from r_evidence)""",
+    "evidence_path_portable": f"""{_R} select evidence_id, not coalesce(path[1] = '/' or regexp_matches(path, '^([A-Za-z]:[\\\\/]|[\\\\/]{{2}})')
+        or list_contains(string_split_regex(path, '[\\\\/]'), '..'), false) is_portable from r_evidence""",
+    "canonical_orientation": f"""{_R} select 'V5' "rule", claim_id record_id from r_claims where {_ok} and coalesce(attributes::json ->> '$.lineage_orientation', '') not in ('subject_to_object', 'object_to_subject')
+        union all select 'V6', claim_id from r_claims where {_ok} and coalesce(json_type(attributes::json, '$.include_in_lineage'), '') <> 'BOOLEAN'""",
 }
