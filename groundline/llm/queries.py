@@ -4,8 +4,8 @@ from . import mixing, packing, sentences, tokens
 
 
 def p7_packing(spark, d):
-    docs = table(spark, d, "documents")
-    return packing.pack(tokens.token_counts(docs), table(spark, d, "containers"), max(1, docs.count() // packing.BLOCK_ROWS))
+    sizes = materialise(tokens.token_counts(table(spark, d, "documents")))
+    return packing.pack(sizes, table(spark, d, "containers"), max(1, sizes.count() // packing.BLOCK_ROWS))
 
 
 def p8_mix(spark, d):
