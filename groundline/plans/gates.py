@@ -75,6 +75,12 @@ def collisions(rows: DataFrame, key: str, content) -> DataFrame:
     return rows.groupBy(key).agg(F.count_distinct(content).alias("n_contents")).filter("n_contents > 1")
 
 
+def missing_ends(claims: DataFrame, nodes: DataFrame) -> DataFrame:
+    """claim_id, node_id: ends of claims that no node has."""
+    ends = claims.select("claim_id", F.explode(F.array("subject", "object")).alias("node_id"))
+    return ends.join(nodes.select("node_id").distinct(), "node_id", "left_anti").select("claim_id", "node_id")
+
+
 def endpoint_gate(claims: DataFrame, nodes: DataFrame, kind: str = "Task", predicates=("NEXT", "WAITS_FOR"), within: str = "orchestrator") -> DataFrame:
     """claim_id, problem: dependency claims whose ends are missing or of another kind, or whose NEXT leaves its orchestrator."""
     n = nodes.select("node_id", "node_type", F.get_json_object("attributes", f"$.{within}").alias("home"))
