@@ -142,6 +142,7 @@ class Bundle:
     folder: Path | None = None
     manifest: dict = field(default_factory=dict)
     hashes: dict = field(default_factory=dict)
+    _rules: list | None = None
 
     @classmethod
     def of(cls, spark, document: dict) -> "Bundle":
@@ -180,8 +181,9 @@ class Bundle:
 
     def messages(self) -> tuple:
         """(errors, warnings), each (rule, record_id, message), sorted. They are as many as faults: a report for people."""
-        rows = [(r.severity, r.rule, r.record_id or "", r.message) for r in validation.messages(self).collect()]
-        rows += [("ERROR", "V9", "", t) for t in local_paths(self.spark, self.manifest)]
+        if self._rules is None:  # the records never change
+            self._rules = [(r.severity, r.rule, r.record_id or "", r.message) for r in validation.messages(self).collect()]
+        rows = self._rules + [("ERROR", "V9", "", t) for t in local_paths(self.spark, self.manifest)]
         return tuple(sorted(r[1:] for r in rows if r[0] == s) for s in ("ERROR", "WARNING"))
 
     def require(self) -> None:

@@ -4,10 +4,16 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import accepted
+from ..bundle import sources
+from ..functions import viewer
+from ..functions.canonical import canonical, stable_id
+from ..functions.text import accepted, ident
 from ..operators import search, validation
 from ..operators import traversal as t
 from ..records import Records
+from ..sources import dags, jsonl
+from ..sources.tables import table
+from . import gates, ledger
 from . import graph_sql as g
 
 START, END = "urn:tarn:shared:repository:mono-flows", "urn:tarn:shared:logicaldataset:tenant-directory"
@@ -31,8 +37,6 @@ def nodes_by_type(spark, d):
 
 
 def dup_ids(spark, d):
-    from ..functions.text import ident
-    from ..sources.tables import table
     return reduce(DataFrame.unionByName, [validation.duplicate_ids(table(spark, d, name).select(ident(key).alias("record_id")), "record_id").withColumn("table_name", F.lit(name))
                                           for name, key in validation.TABLES.values()])
 
@@ -201,8 +205,118 @@ def validation_messages(spark, d):
     return validation.messages(Records(spark, d)).groupBy("rule", "severity").agg(F.count("*").alias("n"))
 
 
+def identity_gate(spark, d):
+    return gates.identity_gate(Records(spark, d).nodes, gates.entity_table(spark))
+
+
+def ontology_gate(spark, d):
+    return gates.ontology_gate(Records(spark, d).claims, gates.relation_table(spark))
+
+
+def by_vocabulary(spark, d):
+    c = gates.by_vocabulary(Records(spark, d).claims, gates.relation_table(spark))
+    return c.select("claim_id", *[F.get_json_object("attributes", f"$.{k}").alias(k) for k in ("lineage_orientation", "include_in_lineage", "relation_category")])
+
+
+def unverified_evidence(spark, d):
+    r = Records(spark, d)
+    return gates.unverified(r.claims, r.evidence)
+
+
+def evidence_collisions(spark, d):
+    e = Records(spark, d).evidence
+    return gates.collisions(e.withColumn("locus_id", _evidence_locus()), "locus_id", F.struct(*[F.coalesce(c, F.lit("\0")) for c in ("source_type", "extractor", "environment")]))
+
+
+def _evidence_locus():
+    return stable_id("evidence", repository=F.col("source_name"), revision=F.col("revision"), path=F.col("path"), locator=F.col("locator"), content_hash=F.col("content_hash"))
+
+
+def promotion_gate(spark, d):
+    r = Records(spark, d)
+    return gates.endpoint_gate(r.claims, r.nodes)
+
+
+def sensor_resolution(spark, d):
+    """WAITS_FOR claims as sensors that name their target by type and name: resolved to its node, or to none."""
+    r = Records(spark, d)
+    tasks = r.nodes.select(F.col("node_type").alias("dag"), F.col("name").alias("task"), "node_id").groupBy("dag", "task").agg(F.min("node_id").alias("node_id"))
+    named = r.nodes.select(F.col("node_id").alias("object"), F.col("node_type").alias("dag"), F.col("name").alias("task"))
+    sensors = r.claims.filter("predicate = 'WAITS_FOR'").select("claim_id", "object").join(named, "object", "left").select("claim_id", "dag", "task")
+    return gates.resolved_sensors(sensors, tasks).select("claim_id", "target_id")
+
+
+def stable_evidence_ids(spark, d):
+    return Records(spark, d).evidence.select("evidence_id", _evidence_locus().alias("made_id"))
+
+
+def stable_unresolved_ids(spark, d):
+    return Records(spark, d).unresolved.select("unresolved_id", stable_id("unresolved", source_node_id=F.col("source_node_id"), target_hint=F.col("target_hint"), reason=F.col("reason")).alias("made_id"))
+
+
+def stable_claim_ids(spark, d):
+    c = Records(spark, d).claims.withColumn("scope", F.coalesce(canonical("scope"), F.lit("{}")))
+    return c.select(F.col("claim_id").alias("given"), *[x for x in c.columns if x != "claim_id"]).select(F.col("given").alias("claim_id"), jsonl.claim_id().alias("made_id"))
+
+
+def manifest_sources(spark, d):
+    return sources("graph-spec", "snapshot:0123456789abcdef", Records(spark, d).evidence)
+
+
+def used_evidence(spark, d):
+    return validation.used_evidence(Records(spark, d))
+
+
+def _edges_of_an_extractor(spark, d):
+    """The claims as an extractor's edges: the relation in lower case, the evidence as source file."""
+    return Records(spark, d).claims.select(F.col("subject").alias("source"), F.col("object").alias("target"), F.lower("predicate").alias("relation"), F.lower("assertion_kind").alias("confidence"),
+                                           F.get(F.col("evidence_ids"), 0).alias("source_file")).distinct()
+
+
+def ledger_candidates(spark, d):
+    c = ledger.candidate_claims(_edges_of_an_extractor(spark, d), F.col("source_file"), "tables", "0" * 40)
+    return c.select("subject_candidate_id", "object_candidate_id", "raw_relation", "proposed_predicate", "assertion_kind", F.array_join("evidence_ids", ",").alias("evidence_ids"), "promotion_eligible")
+
+
+def dangling_endpoints(spark, d):
+    return ledger.dangling(_edges_of_an_extractor(spark, d), Records(spark, d).nodes.select(F.col("node_id").alias("id")))
+
+
+def ledger_counts(spark, d):
+    return ledger_candidates(spark, d).groupBy("raw_relation", "promotion_eligible").agg(F.count("*").alias("n"))
+
+
+def node_groups(spark, d):
+    return Records(spark, d).nodes.select("node_id", viewer.group_of(F.col("node_type")).alias("node_group"), viewer.short(F.col("name"), 12).alias("label"))
+
+
+def marked_nodes(spark, d):
+    return viewer.marked_nodes(Records(spark, d).nodes, "Lantern").select("node_id")
+
+
+def marked_claims(spark, d):
+    return viewer.marked_claims(Records(spark, d).claims, "waits_for").select("claim_id")
+
+
+def explorer_figures(spark, d):
+    return viewer.figures(Records(spark, d))
+
+
+def shown_boundaries(spark, d):
+    return viewer.shown_boundaries(Records(spark, d).unresolved)
+
+
+def dag_extract(spark, d):
+    """The code cells of the notebooks read as DAG sources: facts by kind and reason."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text", F.explode("cells").alias("c")).filter("upper(trim(c.cell_kind)) = 'CODE'")
+    code_ = F.expr("substring(text, c.start_pos + 1, c.end_pos - c.start_pos)")
+    files = docs.select(F.concat_ws("#", "path", F.col("c.cell_no").cast("string")).alias("path"), F.encode(code_, "UTF-8").alias("content")).withColumn("sha256", F.sha2("content", 256))
+    return dags.extracted(files).groupBy("kind", "detail").agg(F.count("*").alias("n"))
+
+
 QUERIES = {f.__name__: f for f in (
-    accepted_claims, claims_by_predicate, unresolved_by_reason, nodes_by_type, dup_ids, review_queue, lineage_edges, downstream_h4, upstream_h4, traversal_capped_500, traversal_capped_20,
+    identity_gate, ontology_gate, by_vocabulary, unverified_evidence, evidence_collisions, promotion_gate, sensor_resolution, stable_evidence_ids, stable_unresolved_ids, stable_claim_ids, manifest_sources,
+    used_evidence, ledger_candidates, dangling_endpoints, ledger_counts, node_groups, marked_nodes, marked_claims, explorer_figures, shown_boundaries, dag_extract, accepted_claims, claims_by_predicate, unresolved_by_reason, nodes_by_type, dup_ids, review_queue, lineage_edges, downstream_h4, upstream_h4, traversal_capped_500, traversal_capped_20,
     downstream_hops_only, path_evidence, impact_summary, impact_by_type, unresolved_boundaries, shortest_paths, shortest_paths_first, claim_evidence_lookup, find_exact, find_prefix, find_contains,
     find_token, find_ranked_topk, find_fuzzy, missing_endpoints, missing_evidence, unresolved_missing_source, unresolved_missing_evidence, unused_evidence, dup_accepted_edges, bundle_counts,
     pinned_revision, evidence_path_portable, canonical_orientation, record_faults, validation_messages)}
@@ -265,3 +379,52 @@ ORACLE = {
     "canonical_orientation": f"""{_R} select 'V5' "rule", claim_id record_id from r_claims where {_ok} and coalesce(attributes::json ->> '$.lineage_orientation', '') not in ('subject_to_object', 'object_to_subject')
         union all select 'V6', claim_id from r_claims where {_ok} and coalesce(json_type(attributes::json, '$.include_in_lineage'), '') <> 'BOOLEAN'""",
 }
+
+_j = lambda c: f"case when {c} is null then 'null' else to_json({c})::varchar end"
+_id = lambda prefix, fields: f"'{prefix}:' || substr(sha256('{{' || " + " || ',' || ".join(f"'\"{k}\":' || {e}" for k, e in sorted(fields.items())) + " || '}'), 1, 24)"
+_locus = _id("evidence", {"repository": _j("source_name"), "revision": _j("revision"), "path": _j("path"), "locator": _j("locator"), "content_hash": _j("content_hash")})
+_scope = "case when scope is null then '{}' else '{' || array_to_string(list_sort(list_transform(json_keys(scope::json), lambda k: to_json(k)::varchar || ':' || (scope::json -> k)::varchar)), ',') || '}' end"
+_types = ", ".join(f"('{k}', {v})" for k, v in gates.ENTITY_TYPES.items())
+_rels = ", ".join(f"('{k}', '{c}', '{d}', {str(i).lower()})" for k, (c, d, i) in gates.RELATIONS.items())
+_voc = f"rel(predicate, category, direction, in_lineage) as (values {_rels})"
+_cand = lambda c: f"'candidate:extractor:' || sha256('tables' || chr(0) || repeat('0', 40) || chr(0) || {c})"
+_prop = "case raw " + " ".join(f"when '{k}' then '{v}'" for k, v in ledger.PROPOSED.items()) + " end"
+_xe = "xe as (select distinct subject source, object target, lower(predicate) raw, upper(lower(assertion_kind)) kind, evidence_ids[1] f from r_claims)"
+_led = f"""{_R}, {_xe} select {_cand('source')} subject_candidate_id, {_cand('target')} object_candidate_id, raw raw_relation, {_prop} proposed_predicate, kind assertion_kind, coalesce(f, '') evidence_ids,
+  {_prop} is not null and f is not null promotion_eligible from xe"""
+ORACLE |= {
+    "identity_gate": f"""{_R}, ty(node_type, identity) as (values {_types}), j as (select n.*, identity, list_filter(identity, lambda k: coalesce(trim(case when k = 'name' then name else attributes::json ->> ('$.' || k) end), '') = '') gone
+        from r_nodes n left join ty using (node_type)) select node_id, node_type, array_to_string(gone, ',') missing from j where identity is null or len(gone) > 0""",
+    "ontology_gate": f"""{_R}, {_voc}, j as (select *, {g._bool('$.include_in_lineage')} flag, attributes::json ->> '$.lineage_orientation' said from r_claims left join rel using (predicate)),
+        k as (select claim_id, predicate, case when direction is null then 'unknown predicate' when said <> direction then 'other orientation' when flag <> in_lineage then 'other lineage flag' end problem from j)
+        select * from k where problem is not null""",
+    "by_vocabulary": f"""{_R}, {_voc} select claim_id, coalesce(direction, attributes::json ->> '$.lineage_orientation') lineage_orientation,
+        coalesce(in_lineage::varchar, attributes::json ->> '$.include_in_lineage') include_in_lineage, coalesce(category, attributes::json ->> '$.relation_category') relation_category from r_claims left join rel using (predicate)""",
+    "unverified_evidence": f"""{_R}, ev as (select {g.ident('evidence_id')} evidence_id, max_by(json_type(attributes::json, '$.locator_verified') = 'BOOLEAN' and attributes::json ->> '$.locator_verified' = 'true', loaded_at) ok from evidence group by 1)
+        select claim_id, evidence_id from (select distinct claim_id, unnest(evidence_ids) evidence_id from r_claims where review_status = 'AUTO_VERIFIED') left join ev using (evidence_id) where not coalesce(ok, false)""",
+    "evidence_collisions": f"""{_R} select {_locus} locus_id, count(distinct (coalesce(source_type, chr(0)), coalesce(extractor, chr(0)), coalesce(environment, chr(0)))) n_contents from r_evidence group by 1
+        having count(distinct (coalesce(source_type, chr(0)), coalesce(extractor, chr(0)), coalesce(environment, chr(0)))) > 1""",
+    "promotion_gate": f"""{_R}, h as (select node_id, node_type, attributes::json ->> '$.orchestrator' home from r_nodes),
+        j as (select claim_id, case when a.node_id is null or b.node_id is null then 'missing end' when a.node_type <> 'Task' or b.node_type <> 'Task' then 'other kind of end'
+          when predicate = 'NEXT' and a.home is distinct from b.home then 'other orchestrator' end problem from r_claims left join h a on a.node_id = subject left join h b on b.node_id = object where predicate in ('NEXT', 'WAITS_FOR'))
+        select * from j where problem is not null""",
+    "sensor_resolution": f"""{_R}, ta as (select node_type, name, min(node_id) target_id from r_nodes group by 1, 2) select claim_id, target_id from r_claims c left join r_nodes n on n.node_id = c.object
+        left join ta on ta.node_type = n.node_type and ta.name = n.name where predicate = 'WAITS_FOR'""",
+    "stable_evidence_ids": f"{_R} select evidence_id, {_locus} made_id from r_evidence",
+    "stable_unresolved_ids": f"{_R} select unresolved_id, " + _id("unresolved", {"source_node_id": _j("source_node_id"), "target_hint": _j("target_hint"), "reason": _j("reason")}) + " made_id from r_unresolved",
+    "stable_claim_ids": f"""with r_claims as (select claim_id, unnest(s) from (select {g.ident('claim_id')} claim_id, max_by(struct_pack(subject := {g.ident('subject')}, predicate := {g.code('predicate')}, object := {g.ident('object')},
+        assertion_kind := {g.code('assertion_kind')}, scope := scope, valid_from := {g.strip('valid_from')}, valid_to := {g.strip('valid_to')}), loaded_at) s from claims group by 1) where claim_id is not null) select claim_id, """
+        + _id("claim", {"subject": _j("subject"), "predicate": _j("predicate"), "object": _j("object"), "assertion_kind": _j("assertion_kind"), "valid_from": _j("valid_from"), "valid_to": _j("valid_to"), "scope": _scope}) + " made_id from r_claims",
+    "manifest_sources": f"{_R} select source_name name, revision from r_evidence union select 'graph-spec', 'snapshot:0123456789abcdef'",
+    "used_evidence": f"{_R} select * from ({_used}) u(evidence_id) where evidence_id is not null",
+    "ledger_candidates": _led,
+    "ledger_counts": f"select raw_relation, promotion_eligible, count(*) n from ({_led}) group by 1, 2",
+    "dangling_endpoints": f"{_R}, {_xe} select distinct id from (select source id from xe union all select target from xe) where id is not null and id not in (select node_id from r_nodes)",
+    "node_groups": f"""{_R} select node_id, case when regexp_matches(node_type, '(?i)dataset|column|table|view') then 'Data' when regexp_matches(node_type, '(?i)contract|marker|invariant|sla') then 'Contract' else 'Resource' end node_group,
+        case when length(name) > 12 then substr(name, 1, 9) || '…' else name end as label from r_nodes""",
+    "marked_nodes": f"{_R} select node_id from r_nodes where contains(lower(concat_ws(' ', name, node_type, array_to_string(aliases, ' '))), 'lantern')",
+    "marked_claims": f"{_R} select claim_id from r_claims where contains(lower(concat_ws(' ', predicate, subject, object)), 'waits_for')",
+    "explorer_figures": f"""{_R} select (select count(*) from r_nodes) nodes, (select count(*) from r_evidence) evidence, (select count(*) from r_unresolved) boundaries,
+        count(*) filter (coalesce({_ok}, false)) accepted, count(*) filter (not coalesce({_ok}, false)) candidates from r_claims""",
+    "shown_boundaries": f"""{_R} select unresolved_id, case when length(l) > 92 then substr(l, 1, 89) || '…' else l end as label from (select *, concat_ws(': ', reason, target_hint) l from r_unresolved) order by unresolved_id limit 200""",
+}
