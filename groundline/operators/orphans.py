@@ -73,7 +73,8 @@ class OrphanState:
         both = F.concat(F.coalesce("spans", F.array().cast(SPANS)), F.coalesce("more", F.array().cast(SPANS)))
         self.index = materialise(old_index.join(new.withColumnRenamed("spans", "more"), KEY, "full_outer").select(*KEY, both.alias("spans")))
         known = F.coalesce("spans", F.array().cast(SPANS))
-        fresh = salted_join(refs.filter("at is not null"), self.index, KEY, "left", "record_id", self.rows).withColumn("spans", known) \
+        refs = refs.select("table_name", "field_name", "record_id", *KEY, "at").filter("at is not null")
+        fresh = salted_join(refs, self.index, KEY, "left", "record_id", self.rows).withColumn("spans", known) \
             .select("table_name", "field_name", "record_id", *KEY, "at", "spans", F.lit(True).alias("resolved"), F.lit(0).alias("times_opened"))
         told = salted_join(old_waiting, new.withColumnRenamed("spans", "more"), KEY, "left", "record_id", self.rows).withColumn("spans", both).drop("more")
         all_ = fresh.unionByName(told.select(*fresh.columns)).filter(~_live(F.col("at"))).withColumn("now", _live(now - F.expr("interval 1 microsecond")))

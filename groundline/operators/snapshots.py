@@ -41,7 +41,7 @@ def current_rows(rows: DataFrame, manifest: DataFrame) -> tuple:
     names = [r.snapshot_id for r in manifest.select(ident("snapshot_id").alias("snapshot_id"), "seq").filter("snapshot_id is not null").groupBy("snapshot_id").agg(F.min("seq").alias("seq"))
              .orderBy("seq", "snapshot_id").collect()]
     seqs = F.broadcast(rows.sparkSession.createDataFrame([(s, i) for i, s in enumerate(names)], "snapshot_id string, i int"))
-    last = rows.filter("record_id is not null").join(seqs, "snapshot_id").groupBy("table_name", "i", "record_id").agg(F.max(F.struct("at", "body")).alias("m"))
+    last = rows.select("table_name", "snapshot_id", "record_id", "at", "body").filter("record_id is not null").join(seqs, "snapshot_id").groupBy("table_name", "i", "record_id").agg(F.max(F.struct("at", "body")).alias("m"))
     return materialise(last.select("table_name", "i", "record_id", F.col("m.body").alias("body"), F.xxhash64("record_id").alias("hash"))), names
 
 

@@ -54,6 +54,7 @@ def time_values(claims: DataFrame, evidence: DataFrame, environments: DataFrame)
 
 def normalised(values: DataFrame, folder: str, rows: int = ROWS_PER_SALT) -> DataFrame:
     """values (with source, raw, zone, record_id) and instant_us; texts that name no instant leave no row. Frequent texts are salted."""
+    values = values.drop("instant_us")
     d, counts = dictionary(values, folder)
     return salted_join(values, d.filter("instant_us is not null"), KEY, "inner", "record_id", rows, counts)
 
