@@ -1,4 +1,5 @@
 """Snapshots as immutable, hashed folders of four JSON-lines files and a manifest."""
+import codecs
 import hashlib
 import json
 from dataclasses import dataclass, field
@@ -22,6 +23,18 @@ def file_hash(path) -> str:
         return hashlib.file_digest(f, "sha256").hexdigest()
 
 
+def _is_utf8(path) -> bool:
+    decoder = codecs.getincrementaldecoder("utf-8")()
+    try:
+        with open(path, "rb") as f:
+            while chunk := f.read(1 << 20):
+                decoder.decode(chunk)
+        decoder.decode(b"", True)
+        return True
+    except UnicodeDecodeError:
+        return False
+
+
 def bundle_digest(hashes: dict) -> str:
     """The digest of a snapshot's content, from the hashes of its files."""
     return hashlib.sha256(json.dumps(hashes, sort_keys=True, separators=(",", ":")).encode()).hexdigest() if hashes else ""
@@ -104,6 +117,8 @@ def manifest_faults(spark, m: dict, folder: Path, verify: bool) -> tuple:
             out.append(f"the file {name} is missing")
             continue
         hashes[name] = file_hash(folder / name)
+        if not _is_utf8(folder / name):
+            out.append(f"the file {name} is not UTF-8")
         said = m["files"][name]
         if not isinstance(said, str) or not said:
             out.append(f"the manifest has no SHA-256 for {name}")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from ..functions.instants import parsed
 from ..functions.text import ident, strip
 from ..operators import heavy, hierarchy, intervals, orphans, snapshots, timestamps
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from . import time_sql
 
 
@@ -54,7 +54,7 @@ def p4_found(spark, d):
     c = table(spark, d, "claims").filter(ident("claim_id").isNotNull()).select(ident("subject").alias("subject"), strip("valid_from").alias("raw"), strip("valid_to").alias("to"),
                                                                               strip(F.get_json_object("scope", "$.environment")).alias("env"))
     # deliveries of one claim hold one interval, and a union does not change by repetition: no need to make claims distinct
-    c = parsed(c.filter("subject is not null and raw <> ''").join(tz, "env", "left").withColumn("zone", F.coalesce("tz_name", F.lit("UTC"))))
+    c = parsed(spread(c.filter("subject is not null and raw <> ''")).join(tz, "env", "left").withColumn("zone", F.coalesce("tz_name", F.lit("UTC"))))
     end = F.when(F.coalesce("to", F.lit("")) == "", F.lit(intervals.OPEN_US)).otherwise(F.unix_micros(F.col("to").try_cast("timestamp")))
     # the coalesce moves no row: it keeps parsing and cutting in two pieces of generated code, which together pass the JVM's limit
     return intervals.spans(c.select("subject", F.col("instant_us").alias("start_us"), end.alias("end_us")).coalesce(1 << 20))
@@ -152,3 +152,17 @@ select table_name, record_id, f from_snapshot, t to_snapshot, case when o.body i
 from o full join n using (table_name, record_id, f, t) where o.body is distinct from n.body"""
 ORACLE["p6_counts"] = f"select table_name, field_name, ref_state, load_month, count(*) n_references from ({ORACLE['p6_found']}) group by 1, 2, 3, 4"
 ORACLE |= {"p2_found": time_sql.P2_FOUND, "p2_instants": time_sql.P2_INSTANTS, "p4_found": time_sql.P4_FOUND}
+
+# the state after each yearly load: an orphan waits from its own load on, and is open while no span that is known by then covers the end of the load
+ORACLE["p6_load_counts"] = f"""with c as ({_claims}), u as ({_gaps}), r0 as (
+select 'claims' table_name, 'subject' field_name, id record_id, 'n' p, subject ref, tm from c union all select 'claims', 'object', id, 'n', object, tm from c
+union all select 'claims', 'evidence_ids', id, 'e', unnest(evidence_ids), tm from c union all select 'unresolved', 'source_node_id', id, 'n', source_node_id, tm from u),
+r as (select distinct table_name, field_name, record_id, p, {_strip_ref} ref_id, tm from r0 where {_strip_ref} <> ''),
+k as (select 'n' p, {S.format('node_id')} ref_id, loaded_at l, deleted_at d from nodes union all select 'e', {S.format('evidence_id')}, loaded_at, deleted_at from evidence),
+o as (select r.* from r where tm is not null and not exists (select 1 from k where k.p = r.p and k.ref_id = r.ref_id and l <= tm and (d is null or d > tm))),
+t as (select distinct year(x) + 1 y from (select tm x from r union all select l from k) where x is not null), e as (select make_timestamp(y, 1, 1, 0, 0, 0) until from t),
+s as (select o.*, until, exists (select 1 from k where k.p = o.p and k.ref_id = o.ref_id and l < until and l <= until - interval 1 microsecond and (d is null or d > until - interval 1 microsecond)) live
+  from o join e on tm < until),
+w as (select *, lag(live) over (partition by table_name, field_name, record_id, ref_id order by until) was from s),
+v as (select *, sum(case when was and not live then 1 else 0 end) over (partition by table_name, field_name, record_id, ref_id order by until) again from w)
+select strftime(until, '%Y-%m-%d') until, table_name, field_name, count(*) n_orphans, count(*) filter (not live) n_open, count(*) filter (live) n_resolved, count(*) filter (again > 0) n_reopened from v group by 1, 2, 3"""

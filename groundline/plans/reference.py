@@ -428,3 +428,29 @@ ORACLE |= {
         count(*) filter (coalesce({_ok}, false)) accepted, count(*) filter (not coalesce({_ok}, false)) candidates from r_claims""",
     "shown_boundaries": f"""{_R} select unresolved_id, case when length(l) > 92 then substr(l, 1, 89) || '…' else l end as label from (select *, concat_ws(': ', reason, target_hint) l from r_unresolved) order by unresolved_id limit 200""",
 }
+
+_blank = lambda c: f"coalesce({g.strip(c)} = '', true)"
+_noid = lambda c: f"(coalesce({g.strip(c)} = '', true) or regexp_matches({c}, '[\\s\\p{{Z}}]'))"
+_rep = lambda c: f"coalesce(len(list_distinct({c})) < len(list_filter({c}, lambda x: x is not null)), false)"
+_pin = lambda c: f"coalesce((select v <> '' and lower(v) not in ({_moving}) and not regexp_matches(lower(v), '^(refs/heads/|origin/|remotes/)') and ({_pinned}) from (select {g.strip(c)} v)), false)"
+_faults = {
+    "node": [(_noid("node_id"), "node_id is missing or holds white space"), (_blank("node_type"), "node_type is required"), (_blank("name"), "name is required"),
+             ("coalesce(list_contains(aliases, node_id), false)", "an alias equals the node''s own id"), (_rep("aliases"), "aliases repeat")],
+    "evidence": [(_noid("evidence_id"), "evidence_id is missing or holds white space"), *[(_blank(c), f"{c} is required") for c in ("source_type", "source_name", "path", "locator")], (f"not {_pin('revision')}", "revision can move"),
+                 ("not coalesce(regexp_matches(content_hash, '^(sha256:)?[0-9a-fA-F]{64}$'), false)", "content_hash is no SHA-256")],
+    "claim": [*[(_noid(c), f"{c} is missing or holds white space") for c in ("claim_id", "subject", "object")], ("coalesce(subject = object, false)", "subject and object are one node"), (_blank("predicate"), "predicate is required"),
+              ("not coalesce(assertion_kind in ('DECLARED', 'OBSERVED', 'INFERRED', 'HUMAN_APPROVED'), false)", "assertion_kind is unknown"),
+              ("not coalesce(review_status in ('AUTO_VERIFIED', 'CANDIDATE', 'HUMAN_APPROVED', 'REJECTED'), false)", "review_status is unknown"),
+              ("coalesce(not try_cast(attributes::json ->> '$.confidence' as double) between 0 and 1, false)", "confidence is outside 0 to 1"), ("coalesce(len(evidence_ids), 0) = 0", "no evidence is named"),
+              (_rep("evidence_ids"), "evidence_ids repeat"), (f"(scope::json ->> '$.revision') is not null and not {_pin('(scope::json ->> $$$.revision$$)')}", "the revision of the scope can move")],
+    "unresolved": [(_noid("unresolved_id"), "unresolved_id is missing or holds white space"), (_noid("source_node_id"), "source_node_id is missing or holds white space"), (_blank("reason"), "reason is required"), (_rep("evidence_ids"), "evidence_ids repeat")],
+}
+_v1 = " union all ".join(f"select {validation.TABLES[k][1]} record_id, 'invalid {k} record: {m}' message from r_{validation.TABLES[k][0]} where {c}" for k, cs in _faults.items() for c, m in cs)
+_part = lambda rule, key, sev="ERROR": f"select '{rule}' \"rule\", '{sev}' severity, count(*) n from ({ORACLE[key]})"
+ORACLE |= {
+    "record_faults": f"{_R} {_v1}",
+}
+ORACLE["validation_messages"] = "select * from (" + " union all ".join([
+    _part("V1", "record_faults"), _part("V3", "missing_endpoints"), _part("V4", "missing_evidence"), f"select \"rule\", 'ERROR', count(*) from ({ORACLE['canonical_orientation']}) group by 1", _part("V7", "dup_accepted_edges"),
+    f"select 'V8', 'ERROR', count(*) from ({ORACLE['evidence_path_portable']}) where not is_portable", _part("V10", "unresolved_missing_source"), _part("V11", "unresolved_missing_evidence"),
+    _part("W1", "unused_evidence", "WARNING"), f"select 'W2', 'WARNING', case when count(*) = 0 then 1 else 0 end from ({ORACLE['accepted_claims']})"]) + ") where n > 0"

@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if its input comes in fewer pieces than there are (one small file); larger inputs are not moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """The Hadoop path and its file system."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
