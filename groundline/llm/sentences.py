@@ -9,7 +9,7 @@ ABBREVIATIONS = ("Dr Dra Sr Sra Mr Mrs Ms Prof St No Nr cf fig Fig Figs cap chap
 ONE_LETTER_WORDS = "AIÀYOEUАВИКОСУЯ"
 # Titles, ranks and the like, which stand before a name or a number (as in the public locale data's lists of exceptions).
 TITLES = ("Gen Col Lt Sgt Capt Cmdr Maj Adm Cpl Pvt Sen Rep Gov Rev Hon Pres Supt Insp Messrs Mmes Fr Mt Ft Ste Approx approx Dipl Mme Mlle Mgr "
-          "Lic Arq Gral Sgto Excmo Excma Srta Srtas Dres Profa Hr Frl проф акад доц им ул гр тов мл обл").split()
+          "Lic Arq Gral Sgto Excmo Excma Srta Srtas Dres Profa Hr Frl av boul bd Проф Акад Доц проф акад доц им ул гр тов мл обл").split()
 # Fixed values, by language: abbreviations that do not end a sentence before a number or label. Words that often close sentences stay out (etc,
 # usw, no, par, ver, tab); one in lower case after an article or the like is a word (DETERMINED: "drop the col. 5 rows stay").
 NUMBERED = {
@@ -24,7 +24,7 @@ NUMBERED = {
     "hi": "पृ सं क्र अध्या",
 }
 DETERMINED = r"(?!(?<=\s(?:the|this|that|each|every|a|an|my|our|your|its|new)\s)\p{Ll})"
-GUARDED = [r"(?<!\d\s)sec", r"(?<!\d\s)[Mm]in", r"art", r"(?<!(?i:все|всё)\s)ок", r"(?<=(?:[Ss]iehe|[Vv]gl[.\ue000]|auf|ab|von|,)\s)S"]
+GUARDED = [r"(?<!\d\s)sec", r"(?<!\d\s)[Mm]in", r"art", r"(?<!(?i:все|всё)\s)ок", r"(?<=(?:[Ss]iehe|und|oder|bis|[Vv]gl[.\ue000]|auf|ab|von|,)\s)S"]
 UNITS = (r"(?:hrs?|hours?|h|mins?|minutes?|secs?|seconds?|ms|days?|wks?|weeks?|mos?|months?|yrs?|years?|ft|feet|in|inch|inches|yds?|lbs?|oz|km|cm|mm|m|kg|g|s|d|"
          "Std|Stdn|Stunden?|Min|Minuten?|Sek|Sekunden?|heures?|horas?|minutos?|seg|segundos?|ч|час(?:а|ов)?|мин|минут[аы]?|сек|секунд[аы]?)")
 # a short word without a vowel is an abbreviation, unless it is a unit, a tool or a file type
@@ -46,6 +46,8 @@ MASKS = [
     (r"(?=[\p{L}\p{M}]{1,8}\.\s)" + WORD + "(" + VOWELLESS + r")\.(?=\s+[(\[]?\p{Nd})", "$1" + MASK),
     (r"(?=\p{L}{1,8}\.\s)(?<![\p{L}\p{M}])((" + UNITS + r"))\.(?=\s+\d+(?:[.,\ue000]\d+)?\s*(?!\2(?!\p{L}))" + UNITS + r"(?!\p{L}))", "$1" + MASK),   # 4 hrs. 12 min.
     (r"\.(?=\s)(?<=(?<![\p{L}\p{N}])(?:" + "|".join(TITLES) + r")\.)", MASK),
+    (r"(?<!\p{L})([uoism]|i\. d)\. ([aäouÄUETR])\.(?=\s+\p{L})", "$1" + MASK + " $2" + MASK),       # German pairs: u. a., o. ä., m. E.
+    (r"(?<=(?:[Ll][ea]|[Dd]u|[Aa]u|[Dd]er|[Dd]ie|[Dd]em|[Dd]en)\s)(prof|dr)\.(?=\s+\p{Lu})", "$1" + MASK),
     (r"\.(?=\s+" + AFTER_HOUR + r")(?<=[ap]" + MASK + r"m\.)", MASK),
     (r"\.(?=\s+\p{Lu})(?<=(?<![\p{L}\p{N}])\p{Lu}\.)", MASK),                             # initials
     (r"\.(?=\s+\p{Lu})(?<=(?:dem|der|den|[Aa]m|[Ii]m|[Zz]um|[Zz]ur|des|[Vv]om|[Ss]eit|[Aa]b|[Bb]is) \d{1,3}\.)", MASK),       # German ordinals
@@ -62,7 +64,7 @@ SPANS = [
     ("「[^「」]*」", "「", "「」", INNER),
 ]
 CUTS = [
-    r"([.!?؟।]+[\"'”’“»)\]）」』]*(?:[   ]»)?)(?=\s|$|[\p{Lu}¿¡])",
+    r"([.!?؟।…]+[\"'”’“»)\]）」』]*(?:[   ]»)?)(?=\s|$|[\p{Lu}¿¡])",
     r"([。！？]++[”’」』）)\"]*+)(?=\s*\S)",
     r"(\ue001\ue003*[\"”“»]|\ue001\ue003*[   ]»)(?=\s+(?:[\p{Lu}¿¡«“„(]|[\w/]+\ue000\w))",
     r"((?:^|[.!?。！？।\ue002]\s*)[(（][^()（）]*\ue001\ue003*[)）])(?=.)",
