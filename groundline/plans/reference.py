@@ -1,4 +1,5 @@
 """Registered queries of the dependency-graph operators, over whole tables."""
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -12,7 +13,7 @@ from ..operators import search, validation
 from ..operators import traversal as t
 from ..records import Records
 from ..sources import dags, jsonl
-from ..sources.tables import table
+from ..sources.tables import scratch_dir, table
 from . import gates, ledger
 from . import graph_sql as g
 
@@ -80,6 +81,7 @@ def traversal_capped_20(spark, d):
 
 
 def downstream_hops_only(spark, d):
+    t.check(Records(spark, d).nodes, START, max_hops=4)
     return t.reach(lineage_edges(spark, d), START, 4)
 
 
@@ -202,7 +204,7 @@ def record_faults(spark, d):
 
 
 def validation_messages(spark, d):
-    return validation.messages(Records(spark, d)).groupBy("rule", "severity").agg(F.count("*").alias("n"))
+    return validation.messages(Records(spark, d).written("nodes", "claims", "evidence", "unresolved")).groupBy("rule", "severity").agg(F.count("*").alias("n"))
 
 
 def identity_gate(spark, d):
@@ -306,6 +308,29 @@ def shown_boundaries(spark, d):
     return viewer.shown_boundaries(Records(spark, d).unresolved)
 
 
+def _through_lines(spark, d, kind):
+    """The records written as JSON lines and read again through the loader's rules."""
+    path = f"{scratch_dir(spark)}/lines-{uuid.uuid4().hex}"
+    jsonl.lines(getattr(Records(spark, d), kind)).write.text(path)
+    return jsonl.normalised(jsonl.read_lines(spark, path), kind)
+
+
+def jsonl_nodes(spark, d):
+    return _through_lines(spark, d, "nodes").select("node_id", "node_type", "name", F.array_join("aliases", ",").alias("aliases"))
+
+
+def jsonl_claims(spark, d):
+    return _through_lines(spark, d, "claims").select("claim_id", "subject", "predicate", "object", "assertion_kind", "review_status", F.array_join("evidence_ids", ",").alias("evidence_ids"), "valid_to")
+
+
+def jsonl_evidence(spark, d):
+    return _through_lines(spark, d, "evidence").select("evidence_id", "source_type", "source_name", "revision", "path", "locator", "content_hash", "extractor", "environment")
+
+
+def jsonl_unresolved(spark, d):
+    return _through_lines(spark, d, "unresolved").select("unresolved_id", "source_node_id", "reason", "target_hint", F.array_join("evidence_ids", ",").alias("evidence_ids"))
+
+
 def dag_extract(spark, d):
     """The code cells of the notebooks read as DAG sources: facts by kind and reason."""
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text", F.explode("cells").alias("c")).filter("upper(trim(c.cell_kind)) = 'CODE'")
@@ -316,7 +341,7 @@ def dag_extract(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     identity_gate, ontology_gate, by_vocabulary, unverified_evidence, evidence_collisions, promotion_gate, sensor_resolution, stable_evidence_ids, stable_unresolved_ids, stable_claim_ids, manifest_sources,
-    used_evidence, ledger_candidates, dangling_endpoints, ledger_counts, node_groups, marked_nodes, marked_claims, explorer_figures, shown_boundaries, dag_extract, accepted_claims, claims_by_predicate, unresolved_by_reason, nodes_by_type, dup_ids, review_queue, lineage_edges, downstream_h4, upstream_h4, traversal_capped_500, traversal_capped_20,
+    used_evidence, ledger_candidates, dangling_endpoints, ledger_counts, node_groups, marked_nodes, marked_claims, explorer_figures, shown_boundaries, jsonl_nodes, jsonl_claims, jsonl_evidence, jsonl_unresolved, dag_extract, accepted_claims, claims_by_predicate, unresolved_by_reason, nodes_by_type, dup_ids, review_queue, lineage_edges, downstream_h4, upstream_h4, traversal_capped_500, traversal_capped_20,
     downstream_hops_only, path_evidence, impact_summary, impact_by_type, unresolved_boundaries, shortest_paths, shortest_paths_first, claim_evidence_lookup, find_exact, find_prefix, find_contains,
     find_token, find_ranked_topk, find_fuzzy, missing_endpoints, missing_evidence, unresolved_missing_source, unresolved_missing_evidence, unused_evidence, dup_accepted_edges, bundle_counts,
     pinned_revision, evidence_path_portable, canonical_orientation, record_faults, validation_messages)}
@@ -429,6 +454,15 @@ ORACLE |= {
     "shown_boundaries": f"""{_R} select unresolved_id, case when length(l) > 92 then substr(l, 1, 89) || '…' else l end as label from (select *, concat_ws(': ', reason, target_hint) l from r_unresolved) order by unresolved_id limit 200""",
 }
 
+_list = lambda c: f"array_to_string(list_filter({c}, lambda x: {g.strip('x')} <> ''), ',')"
+ORACLE |= {
+    "jsonl_nodes": f"{_R} select node_id, node_type, name, coalesce(array_to_string(list_transform(list_filter(aliases, lambda x: {g.strip('x')} <> ''), lambda x: {g.strip('x')}), ','), '') aliases from r_nodes",
+    "jsonl_claims": _R + f", vt as (select {g.ident('claim_id')} claim_id, max_by({g.strip('valid_to')}, loaded_at) valid_to from claims group by 1) "
+                    f"select claim_id, subject, predicate, object, assertion_kind, review_status, coalesce({_list('evidence_ids')}, '') evidence_ids, valid_to from r_claims left join vt using (claim_id)",
+    "jsonl_evidence": f"""{_R} select evidence_id, source_type, source_name, revision, path, locator, case when starts_with(lower(content_hash), 'sha256:') then lower(content_hash) else 'sha256:' || lower(content_hash) end content_hash,
+        extractor, environment from r_evidence""",
+    "jsonl_unresolved": f"{_R} select unresolved_id, source_node_id, reason, target_hint, coalesce({_list('evidence_ids')}, '') evidence_ids from r_unresolved",
+}
 _blank = lambda c: f"coalesce({g.strip(c)} = '', true)"
 _noid = lambda c: f"(coalesce({g.strip(c)} = '', true) or regexp_matches({c}, '[\\s\\p{{Z}}]'))"
 _rep = lambda c: f"coalesce(len(list_distinct({c})) < len(list_filter({c}, lambda x: x is not null)), false)"

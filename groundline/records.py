@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.text import code, ident, strip
-from .sources.tables import table
+from .sources.tables import materialise, table
 
 
 def _last(d: DataFrame, key: str, cols: dict) -> DataFrame:
@@ -22,6 +22,12 @@ class Records:
     spark: object
     folder: str
 
+    def written(self, *tables) -> "Records":
+        """The same with the named tables written once, for plans that read them many times."""
+        r = Records(self.spark, self.folder)
+        r.__dict__.update({t: materialise(getattr(self, t)) for t in tables})
+        return r
+
     @cached_property
     def nodes(self):
         return _last(table(self.spark, self.folder, "nodes"), "node_id", {"node_type": strip("node_type"), "name": strip("name"), "aliases": F.col("aliases"), "attributes": F.col("attributes")})
