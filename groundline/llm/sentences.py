@@ -2,6 +2,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import WHITE, strip
+
 # Abbreviations that do not end a sentence before a capital, digit or file name.
 ABBREVIATIONS = ("Dr Dra Sr Sra Mr Mrs Ms Prof St No Nr cf fig Fig Figs cap chap ca vs al approx z B bzw p ex M UU EE Inc Abb Tab Bd vgl Vgl "
                  "рис Рис табл см См г т е др стр डॉ د").split()
@@ -38,16 +40,17 @@ MASK, INNER, CUT, DEEP = "\ue000", "\ue001", "\ue002", "\ue003"
 TERMINATORS = ".!?。！？।؟…"
 CLOSE = "\"'”’“»)\\]）」』】*_   "
 MASKS = [
-    (r"(?<=\d)[.,](?=\d)", MASK),                                                       # decimals, versions
+    (r"[.,](?=\d)(?<=\d[.,])", MASK),                                                       # decimals, versions
     (r"((?:https?://|\G(?!\A))[^\s.!?]*)[.!?](?=\S)", "$1" + MASK),                             # addresses
     (r"[.?!](?=[\p{L}\p{N}_/=&])(?!(?<=\p{L}\p{L}[.?!])\p{Lu}\p{Ll})(?!(?<=\p{L}\p{L}[.?!])[" + ONE_LETTER_WORDS + r"] )", MASK),  # file names, dotted names
     (r"\.(?=\s)(?<=(?<![\p{L}\p{N}])(?:" + "|".join(ABBREVIATIONS) + r")\.)", MASK),
-    (r"(?=[\p{L}\p{M}]{1,8}\.\s)" + WORD + DETERMINED + "(" + "|".join([w for v in NUMBERED.values() for w in v.split()] + GUARDED) + r")\." + NUMBER, "$1" + MASK),
-    (r"(?=[\p{L}\p{M}]{1,8}\.\s)" + WORD + "(" + VOWELLESS + r")\.(?=\s+[(\[]?\p{Nd})", "$1" + MASK),
-    (r"(?=\p{L}{1,8}\.\s)(?<![\p{L}\p{M}])((" + UNITS + r"))\.(?=\s+\d+(?:[.,\ue000]\d+)?\s*(?!\2(?!\p{L}))" + UNITS + r"(?!\p{L}))", "$1" + MASK),   # 4 hrs. 12 min.
+    (r"\." + NUMBER + "(?<=" + WORD + DETERMINED + "(?:" + "|".join([w for v in NUMBERED.values() for w in v.split()] + GUARDED) + r")\.)", MASK),
+    (r"\.(?=\s+[(\[]?\p{Nd})(?<=" + WORD + "(?:" + VOWELLESS + r")\.)", MASK),
+    (r"\.(?=\s+\d)(?<=(?<![\p{L}\p{M}])(" + UNITS + r")\.)(?=\s+\d+(?:[.,\ue000]\d+)?\s*(?!\1(?!\p{L}))" + UNITS + r"(?!\p{L}))", MASK),   # 4 hrs. 12 min.
     (r"\.(?=\s)(?<=(?<![\p{L}\p{N}])(?:" + "|".join(TITLES) + r")\.)", MASK),
-    (r"(?<!\p{L})([uoism]|i\. d)\. ([aäouÄUETR])\.(?=\s+\p{L})", "$1" + MASK + " $2" + MASK),       # German pairs: u. a., o. ä., m. E.
-    (r"(?<=(?:[Ll][ea]|[Dd]u|[Aa]u|[Dd]er|[Dd]ie|[Dd]em|[Dd]en)\s)(prof|dr)\.(?=\s+\p{Lu})", "$1" + MASK),
+    (r"\.(?= [aäouÄUETR]\.\s+\p{L})(?<=(?<!\p{L})[uoism]\.)", MASK),                       # German pairs: u. a., o. ä., m. E.
+    (r"\.(?=\s+\p{L})(?<=(?<!\p{L})[uoism]" + MASK + r" [aäouÄUETR]\.)", MASK),
+    (r"\.(?=\s+\p{Lu})(?<=(?:[Ll][ea]|[Dd]u|[Aa]u|[Dd]er|[Dd]ie|[Dd]em|[Dd]en)\s(?:prof|dr)\.)", MASK),
     (r"\.(?=\s+" + AFTER_HOUR + r")(?<=[ap]" + MASK + r"m\.)", MASK),
     (r"\.(?=\s+\p{Lu})(?<=(?<![\p{L}\p{N}])\p{Lu}\.)", MASK),                             # initials
     (r"\.(?=\s+\p{Lu})(?<=(?:dem|der|den|[Aa]m|[Ii]m|[Zz]um|[Zz]ur|des|[Vv]om|[Ss]eit|[Aa]b|[Bb]is) \d{1,3}\.)", MASK),       # German ordinals
@@ -100,8 +103,8 @@ def sentences(documents: DataFrame) -> DataFrame:
     for p in CUTS:
         m = F.regexp_replace(m, p, "$1" + CUT)
     x = b.select("doc_id", "at", F.explode(_pieces(m)).alias("p")).select("doc_id", (F.col("at") + F.col("p.o")).alias("at"), F.col("p.s").alias("s"))
-    lead = F.length(F.regexp_extract("s", r"(?U)^(\s*)", 1))
-    body = F.length(F.regexp_replace("s", r"(?U)^\s+|\s+$", ""))
+    lead = F.length("s") - F.length(F.ltrim("s", F.lit(WHITE)))
+    body = F.length(strip("s"))
     return x.filter(body > 0).select("doc_id", (F.col("at") + lead).cast("bigint").alias("sent_start"), (F.col("at") + lead + body).cast("bigint").alias("sent_end"))
 
 
