@@ -54,7 +54,8 @@ MASKS = [
     (r"\.(?=\s+" + AFTER_HOUR + r")(?<=[ap]" + MASK + r"m\.)", MASK),
     (r"\.(?=\s+\p{Lu})(?<=(?<![\p{L}\p{N}])\p{Lu}\.)", MASK),                             # initials
     (r"\.(?=\s+\p{Lu})(?<=(?:dem|der|den|[Aa]m|[Ii]m|[Zz]um|[Zz]ur|des|[Vv]om|[Ss]eit|[Aa]b|[Bb]is) \d{1,3}\.)", MASK),       # German ordinals
-    (r"[.!?…](?=[.!?…]*\s+\p{Ll})(?![.!?…]*\s+[\w/]+[" + MASK + r"]\w)", MASK),             # runs on in lower case, one mark for each character
+    # a run of stops that goes on in lower case, one mark for each: the first looks ahead, the others follow it
+    (r"(?:(?<![.!?…])[.!?…](?=[.!?…]*+\s+\p{Ll})(?![.!?…]*+\s+[\w/]+[" + MASK + r"]\w)|\G(?!\A)(?<=[" + MASK + r".!?…])[.!?…])", MASK),
 ]
 # Spans read from opener to closer, of any length: (pattern of a span without its own marks inside, openers, marks, mask).
 CODE = (r"``[^`]*``|`[^`]*`", "", "`", MASK)
@@ -67,8 +68,8 @@ SPANS = [
     ("「[^「」]*」", "「", "「」", INNER),
 ]
 CUTS = [
-    r"([.!?؟।…]+[\"'”’“»)\]）」』]*(?:[   ]»)?)(?=\s|$|[\p{Lu}¿¡])",
-    r"([。！？]++[”’」』）)\"]*+)(?=\s*\S)",
+    r"((?<![.!?؟।…])[.!?؟।…]++[\"'”’“»)\]）」』]*(?:[   ]»)?)(?=\s|$|[\p{Lu}¿¡])",
+    r"((?<![。！？])[。！？]++[”’」』）)\"]*+)(?=\s*\S)",
     r"(\ue001\ue003*[\"”“»]|\ue001\ue003*[   ]»)(?=\s+(?:[\p{Lu}¿¡«“„(]|[\w/]+\ue000\w))",
     r"((?:^|[.!?。！？।\ue002]\s*)[(（][^()（）]*\ue001\ue003*[)）])(?=.)",
     r"((?<=[ก-ๅ็-๎])(?<!เช่น)\s)(?=[ก-๎])(?!เช่น)",

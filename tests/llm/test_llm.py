@@ -86,6 +86,13 @@ def test_a_paragraph_of_a_hundred_thousand_characters(spark):
     assert len(text) > 100_000 and split(spark, text) == one * 1300
 
 
+def test_long_runs_of_stops(spark):
+    n = 100_000
+    for text in ["So it goes" + "." * n + " and on. Then it ended.", "So" + "." * n + "x it goes. Then it ended.", "So it goes" + "." * n + " Then it ended.", "是" + "。" * n, "\n" * n + "Then it ended."]:
+        assert "".join(split(spark, text)).replace(" ", "") == text.replace(" ", "").strip()
+    assert len(split(spark, "So it goes" + "." * n + " and on. Then it ended.")) == 2
+
+
 def test_packing_keeps_every_token_and_capacity(spark):
     rnd = random.Random(5)
     docs = [(i, rnd.choice([0, 1, 3, 700, 512, 1024, 1025, rnd.randrange(1, 3000)])) for i in range(300)] + [(300, None)]
