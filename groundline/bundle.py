@@ -12,6 +12,7 @@ from .functions.canonical import dumps
 from .operators import validation
 from .sources import jsonl
 from .sources.jsonl import KEYS, BundleError
+from .sources.tables import materialise
 
 FILES = tuple(f"{k}.jsonl" for k in KEYS)
 VERSION = "1"
@@ -162,7 +163,7 @@ class Bundle:
     @classmethod
     def of(cls, spark, document: dict) -> "Bundle":
         """From one JSON document with the four lists; raises if a rule is broken."""
-        b = cls(spark, **{k: jsonl.normalised(jsonl.from_rows(spark, document.get(k) or [], k), k) for k in KEYS})
+        b = cls(spark, **{k: materialise(jsonl.normalised(jsonl.from_rows(spark, document.get(k) or [], k), k)) for k in KEYS})
         b.require()
         return b
 
@@ -180,7 +181,8 @@ class Bundle:
         faults, hashes = manifest_faults(spark, m, folder, verify_hashes)
         if faults:
             raise BundleError(*faults)
-        b = cls(spark, **{k: jsonl.normalised(jsonl.read_lines(spark, str(folder / f"{k}.jsonl")), k) for k in KEYS}, folder=folder, manifest=m, hashes=hashes)
+        # parsed once: the rules read each table many times
+        b = cls(spark, **{k: materialise(jsonl.normalised(jsonl.read_lines(spark, (folder / f"{k}.jsonl").as_uri()), k)) for k in KEYS}, folder=folder, manifest=m, hashes=hashes)
         b.require()
         return b
 

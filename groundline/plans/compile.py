@@ -11,6 +11,7 @@ from ..functions.canonical import dumps, stable_id, with_defaults, with_override
 from ..sources import jsonl
 from ..sources.files import document, evidence_files, locator_valid
 from ..sources.jsonl import BundleError
+from ..sources.tables import materialise
 from . import gates
 
 EXTRACTOR = "groundline build"
@@ -115,10 +116,10 @@ def compile_spec(spark, path) -> tuple:
     entities = spec.get("entities", spec.get("nodes"))
     if not isinstance(entities, list) or not isinstance(spec.get("claims"), list) or not all(isinstance(spec.get(k, []), list) for k in ("evidence", "unresolved")):
         raise BundleError("entities, claims, evidence and unresolved must be lists")
-    nodes = jsonl.normalised(jsonl.from_rows(spark, entities, "entities"), "nodes")
+    nodes = materialise(jsonl.normalised(jsonl.from_rows(spark, entities, "entities"), "nodes"))
     _none(gates.identity_gate(nodes, gates.entity_table(spark, types)), lambda r: f"node {r.node_id} of type {r.node_type}: " + (f"lacks {r.missing}" if r.missing else "the type is unknown"))
     entries, refs = _embedded(spec)
-    rows = evidence_rows(spark, entries, path.parent, name, revision)
+    rows = materialise(evidence_rows(spark, entries, path.parent, name, revision))
     _none(gates.collisions(rows, "evidence_id", F.struct(*[F.coalesce(c, F.lit("\0")) for c in EVIDENCE])), lambda r: f"evidence id collision: {r.evidence_id}")
     evidence = rows.select(*EVIDENCE).dropDuplicates(["evidence_id"])
     named = rows.select("kind", "i", "k", "evidence_id").unionByName(spark.createDataFrame(refs, "kind string, i int, k int, evidence_id string"))
@@ -131,10 +132,11 @@ def compile_spec(spark, path) -> tuple:
     u = _with_ids(jsonl.normalised(jsonl.from_rows(spark, unresolved, "unresolved"), "unresolved"), "unresolved_id", unresolved, ids.filter("kind = 'unresolved'"), spark)
     made = stable_id("unresolved", source_node_id=F.col("source_node_id"), target_hint=F.col("target_hint"), reason=F.col("reason"))
     u = u.withColumn("unresolved_id", F.when(F.col("unresolved_id").rlike("^_[0-9]+$"), made).otherwise(F.col("unresolved_id")))
+    c, u = materialise(c), materialise(u)
     known = gates.relation_table(spark, relations)
     _none(gates.unknown_predicates(c, known), lambda r: f"the predicate {r.predicate!r} is not in the vocabulary")
     _none(gates.unverified(c, evidence), lambda r: f"claim {r.claim_id} is AUTO_VERIFIED, but the lines of {r.evidence_id} are not")
-    bundle = Bundle(spark, nodes, evidence, gates.by_vocabulary(c, known), u)
+    bundle = Bundle(spark, nodes, evidence, materialise(gates.by_vocabulary(c, known)), u)
     bundle.require()
     return bundle, {"project": name, "namespace": namespace, "source_revision": revision, "spec": path.name, "method": "evidence-bounded-static-analysis", "ontology": summary}
 

@@ -94,7 +94,7 @@ class Extraction:
     def promote(self) -> Bundle:
         """A bundle of the candidates, if all pass: the rule may claim its predicate, both ends and the evidence exist, dependencies run between
         tasks, and NEXT stays within its DAG. One that fails raises. Of candidates with one id the last counts."""
-        nodes, evidence = self.nodes(), self.evidence()
+        nodes, evidence = materialise(self.nodes()), materialise(self.evidence())
         rules = self.spark.createDataFrame(list(gates.RULES.items()), "rule string, allowed string")
         c = self.candidates()
         wrong = c.join(F.broadcast(rules), "rule", "left").filter(~F.col("predicate").eqNullSafe(F.col("allowed"))).limit(1).collect()
@@ -115,8 +115,9 @@ class Extraction:
                 raise BundleError(f"a candidate failed the gate: {word}")
         u = self.gaps().select(stable_id("unresolved", source=F.col("source_node_id"), evidence=F.col("evidence_id"), reason=F.col("reason")).alias("unresolved_id"), "source_node_id", "reason",
                                F.lit("unresolved-control-flow").alias("target_hint"), F.array("evidence_id").alias("evidence_ids"), F.lit("{}").alias("attributes")).dropDuplicates(["unresolved_id"])
+        u = materialise(u)
         used = claims.select(F.explode("evidence_ids").alias("evidence_id")).union(u.select(F.explode("evidence_ids"))).distinct()
-        return Bundle(self.spark, nodes, evidence.join(used, "evidence_id", "left_semi"), claims, u)
+        return Bundle(self.spark, nodes, materialise(evidence.join(used, "evidence_id", "left_semi")), claims, u)
 
     def report(self, bundle: Bundle) -> dict:
         kinds = {r[0]: r[1] for r in self.facts.groupBy("kind").count().collect()}
