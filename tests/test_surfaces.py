@@ -96,15 +96,13 @@ def test_command_line(spark, demo, tmp_path, capsys):
     assert run("doctor", demo.folder)[0] == 0 and run("doctor", tmp_path)[0] == 2
     code, r = run("impact", demo.folder, D + "job:read-sales", "--max-hops", 4)
     assert code == 0 and r["impact_summary"]["total"] == 4 and r["impact_summary"]["direct"] == 1
-    assert run("upstream", demo.folder, D + "job:sum-sales")[1]["results"][0]["node_id"] == D + "dataset:sales-raw"
-    assert run("downstream", demo.folder, "nothing")[0] == 2 and run("find", demo.folder, "sales_page")[1]["matches"][0]["score"] == 100.0
-    assert run("path", demo.folder, D + "trigger:nightly", D + "job:sum-sales")[1]["paths"][0]["hops"] == 3
+    assert run("downstream", demo.folder, "nothing")[0] == 2
     (tmp_path / "g.json").write_text(json.dumps({"version": 1, "questions": [{"tool": "find_entity", "arguments": {"query": "zz zz"}, "expect": {"status": "ANSWERED"}}]}))
     assert run("eval", demo.folder, tmp_path / "g.json")[0] == 1
     code, r = run("example", tmp_path / "ex")
     assert code == 0 and r["extraction"]["dags"] == 3 and r["extraction"]["tasks"] == 8
     code, r = run("path", tmp_path / "ex", "urn:groundline:example/task/sales_load/read", "urn:groundline:example/task/sales_report/report")
-    assert r["status"] == "ANSWERED"
+    assert code == 0 and r["status"] == "ANSWERED" and r["paths"][0]["hops"] == 7
 
 
 def test_json_rpc(demo):
